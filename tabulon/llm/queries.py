@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabulon.llm import mixing
-from tabulon.llm.shared import table
+from tabulon.llm import langid, mixing
+from tabulon.llm.shared import crc32_of_id, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -28,3 +29,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150 % takes of each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every text; a third of the documents is never learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = crc32_of_id(F.col("doc_id")) % 3 == 1
+    model = langid.train(docs.filter(~held | held.isNull()))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,3 +55,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc32_of_id(col):
     """CRC-32 of an id written as decimal text."""
     return F.crc32(F.encode(col.cast("string"), "UTF-8"))
+
+
+def schema_with(df: DataFrame, *more: tuple[str, str]) -> StructType:
+    """df's schema and further columns, each as (name, type)."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in more:
+        out = out.add(name, kind)
+    return out
