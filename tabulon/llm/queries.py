@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import langid, mixing
+from tabulon.llm import langid, mixing, quality
 from tabulon.llm.shared import crc32_of_id, table
 
 QUERIES: dict = {}
@@ -39,3 +39,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(~held | held.isNull()))
     found = langid.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every text and whether it stands the rules."""
+    return quality.judge(table(spark, sf_dir, "documents"))
