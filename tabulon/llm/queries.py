@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import langid, mixing, quality
+from tabulon.llm import langid, mixing, packing, quality
 from tabulon.llm.shared import crc32_of_id, table
 
 QUERIES: dict = {}
@@ -45,3 +45,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every text and whether it stands the rules."""
     return quality.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens that hold all documents."""
+    return packing.pack(table(spark, sf_dir, "documents"))
