@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import langid, mixing, packing, quality
+from tabulon.llm import langid, mixing, neardup, packing, quality
 from tabulon.llm.shared import crc32_of_id, table
 
 QUERIES: dict = {}
@@ -51,3 +51,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 4096 tokens that hold all documents."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op1_near_duplicates")
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates on shingles of two words."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)

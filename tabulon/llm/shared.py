@@ -59,7 +59,4 @@ def crc32_of_id(col):
 
 def schema_with(df: DataFrame, *more: tuple[str, str]) -> StructType:
     """df's schema and further columns, each as (name, type)."""
-    out = StructType(list(df.schema.fields))
-    for name, kind in more:
-        out = out.add(name, kind)
-    return out
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in more)).fields])
