@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import langid, mixing, neardup, packing, quality
+from tabulon.llm import langid, linededup, mixing, neardup, packing, quality
 from tabulon.llm.shared import crc32_of_id, table
 
 QUERIES: dict = {}
@@ -57,3 +57,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicates on shingles of two words."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+@query("op10_line_dedup")
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the blocks of lines that an earlier document has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "words_removed", "text")
