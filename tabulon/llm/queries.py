@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import langid, linededup, mixing, neardup, packing, quality
+from tabulon.llm import langid, linededup, mixing, neardup, packing, quality, tokenfile
 from tabulon.llm.shared import crc32_of_id, table
 
 QUERIES: dict = {}
@@ -64,3 +64,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without the blocks of lines that an earlier document has."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "words_removed", "text")
+
+
+@query("op9_token_files")
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as token-id files, read back."""
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"))
