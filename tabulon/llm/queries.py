@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import langid, linededup, mixing, neardup, packing, quality, tokenfile
-from tabulon.llm.shared import crc32_of_id, table
+from tabulon.llm import langid, linededup, mixing, neardup, packing, quality, tokenfile, warczip
+from tabulon.llm.shared import crc32_of_id, new_dir, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -70,3 +70,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token-id files, read back."""
     return tokenfile.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op6_web_archives",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+    g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS head FROM p)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+           CASE WHEN n >= 1000 AND page_id < head THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 1000 AND page_id < head THEN head END AS refers_to
+    FROM g
+    """,
+)
+def op6_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as ZIP-packaged WARC records, read back."""
+    return warczip.round_trip(table(spark, sf_dir, "pages"), new_dir(spark, "packages"))
