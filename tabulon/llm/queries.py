@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import langid, linededup, mixing, neardup, packing, quality, tokenfile, warczip
+from tabulon.llm import ann, langid, linededup, mixing, neardup, packing, quality, tokenfile, warczip
 from tabulon.llm.shared import crc32_of_id, new_dir, table
 
 QUERIES: dict = {}
@@ -86,3 +86,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as ZIP-packaged WARC records, read back."""
     return warczip.round_trip(table(spark, sf_dir, "pages"), new_dir(spark, "packages"))
+
+
+@query("op8_nearest_neighbours")
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each hundredth."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
