@@ -8,13 +8,12 @@ the ids are those of encoding each whole text at once, which the tests compare.
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
 VOCABULARIES = "/opt/tokenizers"
 #: Parts that a worker's cache holds before it starts anew.
-HELD = 400_000
+HELD = 1_000_000
 _GROUP = 400
 
 
@@ -63,25 +62,38 @@ class _Cached:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         parts = [self._parts(x) for x in texts]
-        new = {w for p in parts if p is not None for w in p if w not in self.cache}
+        used = set().union(*[p for p in parts if p is not None])
+        new = used.difference(self.cache)
         if new:
             if len(self.cache) > HELD:
                 self.cache.clear()
-                new = {w for p in parts if p is not None for w in p}
+                new = used
             self._learn(new)
         get = self.cache.__getitem__
         out = []
         for text, p in zip(texts, parts, strict=True):
-            got = None if p is None else [*map(get, p)]
-            out.append(self.whole(text) if got is None or None in got else b"".join(got))
+            try:
+                out.append(self.whole(text) if p is None else b"".join(map(get, p)))
+            except TypeError:  # a part has None: its cuts aren't certain
+                out.append(self.whole(text))
         return out
 
+    def _cut_tails(self, new: set[bytes], tails: bytes) -> tuple[list[bytes], list[bytes], list[bytes]]:
+        """Of parts: those of ASCII letters only, those of such and one mark, and the others."""
+        plain, tailed, other = [], [], []
+        for w in new:
+            if w.isalpha():
+                plain.append(w)
+            elif w[-1] in tails and w[:-1].isalpha():
+                tailed.append(w)
+            else:
+                other.append(w)
+        return plain, tailed, other
+
 
 class WordIds(_Cached):
     """For word_bpe_49k: white space only separates, and letters are lower-cased."""
 
-    _MARK = re.compile(rb"([a-z])([.,])(?=\s|\Z)")
-
     def __init__(self, path: str = f"{VOCABULARIES}/word_bpe_49k.json"):
         super().__init__(path)
         self.ends = self._marks(lambda t: t.endswith("</w>"))
@@ -91,16 +103,30 @@ class WordIds(_Cached):
             return None
         if b"\xcc" not in text and b"\xcd" not in text:  # no mark that composes with a letter
             text = text.lower()
-        return self._MARK.sub(rb"\1 \2", text).split()
+        return text.split()
 
     def _learn(self, new: set[bytes]) -> None:
-        words = [w.decode("utf-8", "replace") for w in new]
-        alpha = [w.isalpha() for w in words]
-        keys = [*new]
-        some = [w for w, a in zip(words, alpha, strict=True) if a]
-        self.cache.update(zip([k for k, a in zip(keys, alpha, strict=True) if a], self._jointly(some, " ", self.ends, True), strict=True))
-        rest = [w for w, a in zip(words, alpha, strict=True) if not a]
-        self.cache.update(zip([k for k, a in zip(keys, alpha, strict=True) if not a], self._singly(rest), strict=True))
+        plain, tailed, other = self._cut_tails(new, b".,;:!?")
+        cores = {w[:-1] for w in tailed}.difference(self.cache, plain)
+        keys = [*plain, *cores]
+        words = [w.decode() for w in keys]
+        rest, single = [], []
+        for w in other:
+            x = w.decode("utf-8", "replace")
+            mark = x[-1] if x[-1] in ".,;:!?" else ""
+            core = x[: len(x) - len(mark)]
+            if core.isalpha() and core.lower().isalpha():  # letters beyond ASCII, with a mark or none
+                rest.append((w, core, mark))
+            else:
+                single.append((w, x))
+        done = self._jointly(words + [c for _, c, _ in rest], " ", self.ends, True)
+        self.cache.update(zip(keys, done))
+        self.cache.update(zip([w for w, _ in single], self._singly([x for _, x in single]), strict=True))
+        marks = dict(zip(".,;:!?", self._singly([*".,;:!?"]), strict=True)) | {"": b""}
+        for (w, _, mark), ids in zip(rest, done[len(keys) :], strict=True):
+            self.cache[w] = ids + marks[mark]
+        for w in tailed:
+            self.cache[w] = self.cache[w[:-1]] + marks[chr(w[-1])]
 
 
 class ByteIds(_Cached):
@@ -115,7 +141,7 @@ class ByteIds(_Cached):
         self.starts = self._marks(lambda t: t.startswith("Ġ"))
 
     def _parts(self, text: bytes) -> list[bytes] | None:
-        if b"<|" in text:
+        if b"<|" in text or b" \n" in text:
             return None
         if not text:
             return []
@@ -144,8 +170,10 @@ class ByteIds(_Cached):
         return out
 
     def _learn(self, new: set[bytes]) -> None:
-        split = {w: self._split(w) for w in new}
-        cores = {c for p in split.values() if p for c in p if c not in self.cache}
+        plain, tailed, other = self._cut_tails(new, b".,;:!?")
+        split = {w: self._split(w) for w in other}
+        split.update((w, [w[:-1], b"\n" + w[-1:]]) for w in tailed)
+        cores = {c for p in split.values() if p for c in p}.union(plain).difference(self.cache)
         spaced = [c for c in cores if c[:1] != b"\n"]
         words = [c.decode("utf-8", "replace") for c in spaced]
         alpha = [w.isalpha() for w in words]
