@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import ann, langid, linededup, mixing, neardup, packing, quality, tokenfile, warczip
+from tabulon.llm import ann, langid, linededup, lm, mixing, neardup, packing, quality, tokenfile, warczip
 from tabulon.llm.shared import crc32_of_id, new_dir, table
 
 QUERIES: dict = {}
@@ -93,3 +93,11 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of each hundredth."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+@query("op5_lm_scores")
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text; a fifth of the documents is never learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", lm.held_out(F.col("doc_id")))
+    model = lm.train(docs.filter(~F.col("held_out")))
+    return lm.score(docs, model)
