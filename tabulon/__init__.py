@@ -1 +1,3 @@
-"""Filing analytics on Spark."""
+"""Filing analytics on Spark: tagged facts, statements, sections and comparisons as DataFrames."""
+
+__version__ = "0.1.0"
