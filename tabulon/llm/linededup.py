@@ -164,7 +164,8 @@ def dedup_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, rare: int = R
     rows = written(shred(docs.select("doc_id", "text").filter("doc_id is not null and text is not null")), "lines")
     pairs = written(overlaps(rows, anchor_words, rare), "overlaps")
     drop = written(aligned(rows, pairs, block_words), "aligned")
-    d = docs.join(drop, "doc_id", "left").select(*docs.columns, "drop")
+    # by shuffle at any size: what is deleted grows with the corpus
+    d = docs.join(drop.hint("merge"), "doc_id", "left").select(*docs.columns, "drop")
     at, schema = docs.columns.index("text"), schema_with(docs, *[(c, "long") for c in own])
     names = schema.names
 
