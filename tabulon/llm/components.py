@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.shared import written
+from tabulon.llm.shared import release, written
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
-        edges = written(_star(_star(edges, small=False), small=True), "edges")
+        before, edges = edges, written(_star(_star(edges, small=False), small=True), "edges")
+        release(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if tuple(now) == seen:
             break

@@ -195,12 +195,14 @@ def train(docs: DataFrame, tested: float = TESTED, gain: float = GAIN, frequent:
         if k:
             total = grams.groupBy(F.shiftright(F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)), 8).alias("c")).agg(F.sum("n").alias("t")).filter(F.col("t") >= tested * places).drop("t")
             g = g.join(total, F.shiftright("g", 8) == F.col("c"), "left_semi")
-        pdf = g.toPandas()
-        levels.append((pdf["g"].to_numpy(np.int64).astype(T.U64), pdf["n"].to_numpy(np.int64)))
-    often = words.filter(F.col("n") >= max(1.0, frequent * tokens)).select("key", "n").toPandas().sort_values("key", key=lambda s: s.astype("int64").astype("uint64"))
+        t = g.select("g", "n").toArrow()
+        levels.append((t["g"].to_numpy().astype(T.U64), t["n"].to_numpy()))
+    often = words.filter(F.col("n") >= max(1.0, frequent * tokens)).select("key", "n").toArrow()
+    keys, times = often["key"].to_numpy().astype(T.U64), often["n"].to_numpy()
+    order = np.argsort(keys)
     return {
         "tokens": int(tokens), "distinct": int(distinct), "docs": int(n_docs), "words": words.select("key", "n"),
-        "tree": build_tree(levels, gain), "keys": often["key"].to_numpy(np.int64).astype(T.U64), "counts": often["n"].to_numpy(np.int64),
+        "tree": build_tree(levels, gain), "keys": keys[order], "counts": times[order],
     }
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import textops as T
 from tabulon.llm.components import components
-from tabulon.llm.shared import schema_with, written
+from tabulon.llm.shared import release, schema_with, written
 
 #: Bands and registers of each: two sets of similarity 0.8 share no band once in 16000 times.
 BANDS, ROWS = 32, 6
@@ -25,9 +25,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 5.0
-#: A bucket of more sets is split by further bands, LEVELS times at most, before all its
-#: remaining pairs of different groups are compared.
-LARGE, LEVELS = 48, 3
+#: Pivots that the members of a bucket are compared with, one after the other.
+PIVOTS = 3
 
 _rng = np.random.Generator(np.random.PCG64(8128))
 _MUL = _rng.integers(1, 2**31, REGISTERS, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -132,12 +131,11 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return d.mapInArrow(run, d.select("a", "b").schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have 100 * common >= percent * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
-    side = lambda c: wanted.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
     d = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+    # rows of one doc_id are one document: a pair is linked if any of their texts is
 
     def run(batches):
         for batch in batches:
@@ -150,56 +148,93 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                     keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return d.mapInArrow(run, d.select("a", "b").schema)
+    return written(d.mapInArrow(run, d.select("a", "b").schema), "links")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return rows.withColumn("label", F.col("doc"))
-    return rows.join(labels.withColumnRenamed("node", "doc").withColumnRenamed("component", "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    return rows.join(labels.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets whose members differ in label."""
+    keys = rows.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key")
+    return rows.join(keys, "key", "left_semi")
+
+
+def rarities(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """doc, common and alone: how many of a member's shingles another member has, and how many none.
+
+    It takes a row for each shingle of the members, however large their groups are.
+    """
+
+    def run(batches):
+        for batch in batches:
+            buf_all, off_all = T.texts(batch.column(1))
+            for lo, hi in T.chunks(off_all):
+                sets = T.shingle_sets(buf_all[off_all[lo] : off_all[hi]], off_all[lo : hi + 1] - off_all[lo], width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc", "s"])
+
+    some = texts.select(F.col("doc_id").alias("doc"), "text").join(members.select("doc").distinct(), "doc", "left_semi")
+    sets = written(some.mapInArrow(run, schema_with(some.select("doc"), ("s", "array<long>"))), "sets")
+    one = sets.select("doc", F.explode("s").alias("x"))
+    again = one.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1").select("x")
+    common = one.join(again, "x", "left_semi").groupBy("doc").agg(F.count("*").alias("common"))
+    out = written(sets.groupBy("doc").agg(F.max(F.size("s")).alias("n")).join(common, "doc").select("doc", "common", (F.col("n") - F.col("common")).alias("alone")), "rarities")
+    release(sets)
+    return out
 
 
 def linked(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
     """node, component of the linked documents of ``reps`` (one of each distinct set); None
     where none is.
 
-    In every bucket each member is compared with the least. What that links shares a label
-    from then on, so a large group of copies costs a pair each. Members of a small bucket
-    that still differ in label are compared with each other; those of a large one fall in
-    smaller buckets by a second and a third band, whose sets agree in 12 and 18 registers.
+    In every bucket each member is compared with one pivot, the least at first; what that
+    links shares a label from then on. Buckets whose members still differ in label get
+    another pivot, PIVOTS times in all: a group of n costs n comparisons a bucket each time.
+    Who still differs is compared with all members of other labels in its buckets, each pair
+    in the first band it shares, unless shingles that no other member has rule that out: two
+    sets of which ``alone`` shingles each are in no other have at most s in s + alone + alone
+    in common, s being what the smaller has in common with anyone.
     """
-    base = written(reps.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("key")), "bands")
-    rows, edges, labels = base, None, None
+    exploded = reps.select(F.col("doc_id").alias("doc"), F.posexplode("keys").alias("band", "key"))
+    shared = exploded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    rows = written(exploded.join(shared, "key", "left_semi"), "bands")
+    # by shuffle at any size, once: who shares a bucket grows with the corpus
+    texts = written(docs.join(rows.select(F.col("doc").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+    edges, labels = None, None
 
     def take(pairs: DataFrame) -> None:
         nonlocal edges, labels
-        found = written(verified(written(likely(pairs, reps, percent / 100), "likely"), docs, width, percent), "links")
-        if found.isEmpty():
-            return
-        edges = found if edges is None else edges.union(found)
-        labels = written(components(edges), "labels")
-
-    for level in range(1, LEVELS + 1):
-        pivots = rows.groupBy("key").agg(F.min("doc").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        pairs = rows.join(pivots, "key").filter("doc <> a").select("a", F.col("doc").alias("b"))
-        if level > 1 and labels is not None:
-            both = labels.select(F.col("node").alias("a"), F.col("component").alias("la"))
-            other = labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
-            pairs = pairs.join(both, "a", "left").join(other, "b", "left").filter("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
-        take(pairs.distinct())
-        mixed = _labelled(rows, labels)
-        keys = mixed.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("doc").alias("least")).filter("n > 1 and l0 <> l1").select("key", "n", "least")
-        mixed = written(mixed.join(keys, "key"), "mixed")
-        near = mixed.filter(F.col("n") <= LARGE) if level < LEVELS else mixed
-        x = near.select("key", F.col("doc").alias("a"), F.col("label").alias("la"), "least")
-        y = near.select("key", F.col("doc").alias("b"), F.col("label").alias("lb"))
-        # the least was compared with all before
-        take(x.filter("a <> least").join(y, "key").filter("a < b and la <> lb").select("a", "b").distinct())
-        large = mixed.filter(F.col("n") > LARGE).select("doc", "key")
-        if level == LEVELS or large.isEmpty():
-            break
-        more = base.select("doc", F.col("key").alias("other"))
-        rows = written(large.join(more, "doc").filter("key <> other").select("doc", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct(), "bands")
+        near = written(likely(pairs, reps, percent / 100), "likely")
+        found = verified(near, texts, width, percent)
+        release(near)
+        if not found.isEmpty():
+            edges = found if edges is None else edges.union(found)
+            labels = written(components(edges), "labels")
+
+    for turn in range(PIVOTS):
+        now = rows.withColumn("label", F.col("doc")) if turn == 0 else written(_mixed(_labelled(rows, labels)), "mixed")
+        order = F.struct("doc", "label") if turn == 0 else F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "label")
+        pivots = now.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.doc").alias("p"), F.col("p.label").alias("pl"))
+        pairs = now.join(pivots, "key").filter("label <> pl").select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).distinct()
+        take(pairs)
+    mixed = written(_mixed(_labelled(rows, labels)).select("doc", "key", "band"), "mixed")
+    if not mixed.isEmpty():
+        # alone_a + alone_b <= common * (100 - percent) / percent, for the smaller common
+        able = rarities(mixed, texts, width).select("doc", "alone", (F.col("common") * (100 - percent) / percent).alias("room"))
+        mixed = _labelled(mixed.join(able, "doc"), labels)
+        for _ in range(2):  # out who has no room even beside the least of its bucket
+            mixed = _mixed(mixed)
+            least = mixed.groupBy("key").agg(F.min("alone").alias("least"))
+            mixed = mixed.join(least, "key").filter(F.col("alone") + F.col("least") <= F.col("room") + 1e-6).drop("least")
+        mixed = written(_mixed(mixed).join(reps.select(F.col("doc_id").alias("doc"), "keys"), "doc"), "mixed")
+        side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("doc", "label", "keys", "alone", "room")]
+        first = (F.col("band") == 0) | ~F.arrays_overlap(F.slice("keys_a", F.lit(1), F.col("band")), F.slice("keys_b", F.lit(1), F.col("band")))
+        room = F.col("alone_a") + F.col("alone_b") <= F.least("room_a", "room_b") + 1e-6
+        both = mixed.select("key", "band", *side("a")).join(mixed.select("key", *side("b")), "key")
+        take(both.filter("doc_a < doc_b and label_a <> label_b").filter(room & first).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
     return labels
 
 

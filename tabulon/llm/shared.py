@@ -44,7 +44,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``written`` gave and nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            drop_dir(df.sparkSession, df._written)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
