@@ -6,8 +6,6 @@ is null and never zero.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,10 +35,10 @@ def is_dash(x: Column) -> Column:
 
 
 def normalize_number(x: Column, comma_decimal: Column | bool = False) -> Column:
-    """The digits, sign and decimal point of a figure as text."""
+    """The digits, signs and decimal point of a figure as text."""
     comma = comma_decimal if isinstance(comma_decimal, Column) else F.lit(comma_decimal)
-    point = F.regexp_replace(x, r"[^\p{Nd}.\-]", "")
-    swapped = F.translate(F.regexp_replace(x, r"[^\p{Nd},\-]", ""), ",", ".")
+    point = F.regexp_replace(x, r"[^\p{Nd}.+\-]", "")
+    swapped = F.translate(F.regexp_replace(x, r"[^\p{Nd},+\-]", ""), ",", ".")
     return F.when(comma, swapped).otherwise(point)
 
 
@@ -49,21 +47,34 @@ def in_parentheses(x: Column) -> Column:
     return t.startswith("(") & t.endswith(")")
 
 
+def _bare(x: Column) -> Column:
+    """Without the parentheses around it."""
+    t = trim(x)
+    return F.when(in_parentheses(t), F.regexp_replace(t, r"(?s)^\(|\)$", "")).otherwise(t)
+
+
 def fact_value(raw: Column, scale: Column, sign: Column, format_: Column) -> Column:
     """A tagged figure: sign attribute or parentheses make it negative, scale is a power of ten;
-    dashes and the fixed-zero format are 0; null where it isn't a number."""
+    dashes and the fixed-zero format are 0; null where it isn't a number or the scale isn't one."""
     form = F.coalesce(format_, F.lit(""))
-    zero = is_dash(raw) | form.contains("fixed-zero") | form.contains("zerodash")
-    number = normalize_number(raw, form.contains("comma-decimal")).try_cast("double")
-    scaled = number * F.pow(F.lit(10.0), F.coalesce(scale.try_cast("int"), F.lit(0)))
+    power = F.when(F.coalesce(scale, F.lit("")) == "", F.lit(0)).otherwise(F.when(scale.rlike(r"^[+-]?\d{1,4}$"), scale).try_cast("int"))
+    zero = is_dash(_bare(raw)) | form.contains("fixed-zero")
+    number = _double(normalize_number(_bare(raw), form.contains("comma-decimal")))
+    scaled = number * F.pow(F.lit(10.0), power)
     negative = (F.coalesce(sign, F.lit("")) == "-") | in_parentheses(raw)
-    return F.when(zero, F.lit(0.0)).otherwise(F.when(negative, -scaled).otherwise(scaled))
+    value = F.when(zero, F.lit(0.0)).when(negative, -scaled).otherwise(scaled)
+    return F.when(power.isNotNull(), value)
+
+
+def _double(x: Column) -> Column:
+    """A plain ASCII number as a double; null for anything else."""
+    return F.when(x.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), x).try_cast("double")
 
 
 def layout_value(x: Column) -> Column:
     """A displayed figure: parentheses are negative; blank and dashes are null."""
     t = trim(x)
-    digits = F.regexp_replace(t, r"[^\p{Nd}.\-]", "").try_cast("double")
+    digits = _double(F.regexp_replace(_bare(t), r"[^\p{Nd}.\-]", ""))
     return F.when((t == "") | is_dash(t), F.lit(None).cast("double")).otherwise(F.when(in_parentheses(t), -digits).otherwise(digits))
 
 
@@ -82,21 +93,34 @@ def footnote(x: Column) -> Column:
     return F.when(before != "", F.regexp_extract(trim(x), _NOTE, 2))
 
 
+def let(x: Column, f) -> Column:
+    """f of x, where x is computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def item_id(x: Column, anchored: bool) -> Column:
     """The item that a heading (anchored) or a contents row names, or null."""
-    t = normalize_heading(x)
     lead = "^" if anchored else r"\b"
-    dotted = F.regexp_extract(t, rf"(?i){lead}item\s+(\d+\.\d+)\b", 1)
-    plain = F.regexp_extract(t, rf"(?i){lead}item\s+(\d{{1,2}})\s*([a-c])?\b", 1)
-    letter = F.upper(F.regexp_extract(t, rf"(?i){lead}item\s+(\d{{1,2}})\s*([a-c])?\b", 2))
-    low = F.lower(t)
-    known = lambda c, ids: F.when(c.isin(*ids), c)
-    named = [F.when(low.startswith(k) if anchored else low.contains(k), F.lit(i)) for k, i in items.FRAGMENTS]
-    return F.coalesce(known(dotted, [i for i, _, _ in items.CURRENT]), known(F.concat(plain, letter), [i for i, _, _ in items.ANNUAL]), *named)
+    fragments = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(i).alias("item")) for k, i in items.FRAGMENTS])
+    known = lambda c, rows: F.when(c.isin(*[i for i, _, _ in rows]), c)
+
+    def found(t: Column) -> Column:
+        dotted = F.regexp_extract(t, rf"(?i){lead}item\s+(\d+\.\d+)\b", 1)
+        plain = F.regexp_extract(t, rf"(?i){lead}item\s+(\d{{1,2}})\s*([a-c])?\b", 1)
+        letter = F.upper(F.regexp_extract(t, rf"(?i){lead}item\s+(\d{{1,2}})\s*([a-c])?\b", 2))
+        named = let(F.lower(t), lambda low: F.get(F.filter(fragments, lambda f: low.startswith(f["key"]) if anchored else low.contains(f["key"])), F.lit(0))["item"])
+        return F.coalesce(known(dotted, items.CURRENT), known(F.concat(plain, letter), items.ANNUAL), named)
+
+    return let(normalize_heading(x), found)
 
 
 def item_title(item: Column) -> Column:
-    return reduce(lambda c, x: c.when(item == x[0], x[1]), items.TITLES.items(), F.when(F.lit(False), F.lit("")))
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in items.TITLES.items() for x in pair]), item)
+
+
+def is_bold_style(style: Column) -> Column:
+    s = F.replace(F.lower(F.coalesce(style, F.lit(""))), F.lit(" "), F.lit(""))
+    return s.contains("font-weight:bold") | s.contains("font-weight:700")
 
 
 def concept_of_href(href: Column) -> Column:

@@ -22,15 +22,15 @@ _LABEL = "http://www.xbrl.org/2003/role/"
 LABEL, TERSE, VERBOSE = _LABEL + "label", _LABEL + "terseLabel", _LABEL + "verboseLabel"
 TOTAL, PERIOD_START, PERIOD_END = _LABEL + "totalLabel", _LABEL + "periodStartLabel", _LABEL + "periodEndLabel"
 
-#: Statement selectors and what a folded role address contains for each.
+# Statement selectors, and what a folded role address contains for each.
 STATEMENTS = {
-    "balance": ("financialposition", "balancesheets"),
-    "cashflow": ("cashflow", "statementsofcashflows"),
+    "income": ("statementsofoperations", "statementsofincome"),
+    "balance": ("balancesheets", "financialposition"),
+    "cashflow": ("statementsofcashflows", "cashflow"),
+    "equity": ("stockholdersequity", "shareholdersequity"),
     "comprehensive": ("comprehensiveincome",),
-    "equity": ("shareholdersequity", "stockholdersequity"),
-    "income": ("statementsofincome", "statementsofoperations"),
 }
-DEFAULT_STATEMENTS = ("income", "balance", "cashflow", "equity", "comprehensive")
+DEFAULT_STATEMENTS = tuple(STATEMENTS)
 NOT_STATEMENTS = "details|tables|parenthetical|disclosure"
 
 SUBMISSIONS_JSON = (
@@ -47,8 +47,17 @@ LABEL_XML = (
     "labelLink array<struct<loc: array<struct<_label: string, _href: string>>, labelArc: array<struct<_from: string, _to: string>>, "
     "label: array<struct<_label: string, _role: string, _VALUE: string>>>>"
 )
-SCHEMA_XML = "annotation struct<appinfo: struct<roleType: array<struct<_roleURI: string, definition: string>>>>"
+SCHEMA_XML = "annotation array<struct<appinfo: array<struct<roleType: array<struct<_roleURI: string, definition: string>>>>>>"
 BASELINE_JSON = (
     "ticker string, form string, format string, confidence string, sections array<string>, "
     "statements array<struct<role: string, title: string, cells: array<struct<concept: string, period: string, value: double>>>>"
 )
+
+#: Addresses of the public archive that filings come from.
+ARCHIVE, DATA = "https://www.sec.gov", "https://data.sec.gov"
+REQUESTS_PER_SECOND, TIMEOUT_S, RETRY_S = 9, 30, 0.5
+
+NODES = (
+    "accession string, pos long, kind string, tag string, attrs map<string,string>, parent_pos long, end_pos long, depth int, "
+    "table_pos long, row_pos long, context_pos long, hidden boolean, bold boolean, n_ix int, n_figures int, text string, shown string, notes array<string>"
+)
