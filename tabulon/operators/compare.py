@@ -141,6 +141,14 @@ def section_changes(prev: DataFrame, curr: DataFrame) -> DataFrame:
     return d.withColumn("paragraphs", paragraph_changes("before", "after")).filter(F.size("paragraphs") > 0).select("pair", "n", "item", "title", "paragraphs")
 
 
+def paragraph_balance(prev: DataFrame, curr: DataFrame) -> DataFrame:
+    """pair, item, removed and added: how many paragraphs one side has more often than the other,
+    whatever their order. It is less than an edit script, and takes no alignment."""
+    one = lambda docs, k: docs.select("pair", F.explode("sections").alias("x")).select("pair", "x.item", F.explode(X.paragraphs(F.col("x.text"))).alias("t"), F.lit(k).alias("k"))
+    d = one(prev, 1).unionByName(one(curr, -1)).groupBy("pair", "item", "t").agg(F.sum("k").alias("b")).filter("b <> 0")
+    return d.groupBy("pair", "item").agg(F.sum(F.greatest("b", F.lit(0))).alias("removed"), F.sum(F.greatest(-F.col("b"), F.lit(0))).alias("added"))
+
+
 _TOKENS = re.compile(r"\s+|\S+")
 
 
