@@ -56,14 +56,16 @@ def _bare(x: Column) -> Column:
 def fact_value(raw: Column, scale: Column, sign: Column, format_: Column) -> Column:
     """A tagged figure: sign attribute or parentheses make it negative, scale is a power of ten;
     dashes and the fixed-zero format are 0; null where it isn't a number or the scale isn't one."""
-    form = F.coalesce(format_, F.lit(""))
+
+    def value(f: Column) -> Column:
+        text = f["text"]
+        scaled = _double(normalize_number(text, f["form"].contains("comma-decimal"))) * F.pow(F.lit(10.0), f["power"])
+        return F.when(f["power"].isNull(), F.lit(None)).when(is_dash(text) | f["form"].contains("fixed-zero"), F.lit(0.0)).otherwise(F.when(f["negative"], -scaled).otherwise(scaled))
+
     power = F.when(F.coalesce(scale, F.lit("")) == "", F.lit(0)).otherwise(F.when(scale.rlike(r"^[+-]?\d{1,4}$"), scale).try_cast("int"))
-    zero = is_dash(_bare(raw)) | form.contains("fixed-zero")
-    number = _double(normalize_number(_bare(raw), form.contains("comma-decimal")))
-    scaled = number * F.pow(F.lit(10.0), power)
     negative = (F.coalesce(sign, F.lit("")) == "-") | in_parentheses(raw)
-    value = F.when(zero, F.lit(0.0)).when(negative, -scaled).otherwise(scaled)
-    return F.when(power.isNotNull(), value)
+    parts = F.struct(_bare(raw).alias("text"), F.coalesce(format_, F.lit("")).alias("form"), power.alias("power"), negative.alias("negative"))
+    return F.when(raw.isNotNull(), let(parts, value))
 
 
 def _double(x: Column) -> Column:
@@ -73,9 +75,12 @@ def _double(x: Column) -> Column:
 
 def layout_value(x: Column) -> Column:
     """A displayed figure: parentheses are negative; blank and dashes are null."""
-    t = trim(x)
-    digits = _double(F.regexp_replace(_bare(t), r"[^\p{Nd}.\-]", ""))
-    return F.when((t == "") | is_dash(t), F.lit(None).cast("double")).otherwise(F.when(in_parentheses(t), -digits).otherwise(digits))
+
+    def value(t: Column) -> Column:
+        digits = _double(F.regexp_replace(_bare(t), r"[^\p{Nd}.\-]", ""))
+        return F.when((t == "") | is_dash(t), F.lit(None).cast("double")).otherwise(F.when(in_parentheses(t), -digits).otherwise(digits))
+
+    return let(trim(x), value)
 
 
 _NOTE = r"^(.+?)\(([0-9A-Za-z]{1,2})\)$"
@@ -199,14 +204,18 @@ def decimal_text(x: Column) -> Column:
 
     Java's shortest digits are shifted by their exponent as text.
     """
-    s = F.abs(x).cast("string")
-    digits = F.regexp_replace(F.regexp_replace(s, "E.*$", ""), r"\.0$", "")
-    exponent = F.coalesce(F.regexp_extract(s, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-    whole, frac = F.substring_index(digits, ".", 1), F.when(digits.contains("."), F.substring_index(digits, ".", -1)).otherwise("")
-    right = F.concat(whole, F.substring(F.rpad(frac, 400, "0"), F.lit(1), exponent), F.when(F.length(frac) > exponent, F.concat(F.lit("."), F.substring(frac, exponent + 1, F.lit(400)))).otherwise(""))
-    left = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), whole, frac)
-    plain = F.when(exponent > 0, right).when(exponent < 0, left).otherwise(digits)
-    return F.coalesce(F.concat(F.when((x < 0), "-").otherwise(""), plain), F.lit(""))
+
+    def plain(s: Column) -> Column:
+        return let(F.struct(F.regexp_replace(F.regexp_replace(s, "E.*$", ""), r"\.0$", "").alias("digits"), F.coalesce(F.regexp_extract(s, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0)).alias("exponent")), shifted)
+
+    def shifted(f: Column) -> Column:
+        digits, exponent = f["digits"], f["exponent"]
+        whole, frac = F.substring_index(digits, ".", 1), F.when(digits.contains("."), F.substring_index(digits, ".", -1)).otherwise("")
+        right = F.concat(whole, F.substring(F.rpad(frac, 400, "0"), F.lit(1), exponent), F.when(F.length(frac) > exponent, F.concat(F.lit("."), F.substring(frac, exponent + 1, F.lit(400)))).otherwise(""))
+        left = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), whole, frac)
+        return F.when(exponent > 0, right).when(exponent < 0, left).otherwise(digits)
+
+    return F.when(x.isNull(), "").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), let(F.abs(x).cast("string"), plain)))
 
 
 def signed_text(x: Column) -> Column:
@@ -214,7 +223,7 @@ def signed_text(x: Column) -> Column:
 
 
 def percent_text(x: Column) -> Column:
-    return F.coalesce(F.format_string("%+.1f%%", x), F.lit(""))
+    return F.when(x.isNull(), "").otherwise(F.format_string("%+.1f%%", F.bround(x, 1)))
 
 
 def markdown_cell(x: Column) -> Column:

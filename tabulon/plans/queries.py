@@ -349,7 +349,7 @@ def tag_density(spark, d) -> DataFrame:
     return router.density(nodes).select(F.col("accession").cast("long").alias("supp"), "numeric", "tagged")
 
 
-_RAW = "CASE o_orderkey % 6 WHEN 0 THEN '(' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) || ')' WHEN 1 THEN '—' WHEN 2 THEN '$ ' || CAST(o_totalprice AS VARCHAR) WHEN 3 THEN 'n/a' WHEN 4 THEN format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) ELSE '-' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) END"
+_RAW = "CASE o_orderkey % 6 WHEN 0 THEN '(' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) || ')' WHEN 1 THEN '—' WHEN 2 THEN '$ ' || regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', '') WHEN 3 THEN 'n/a' WHEN 4 THEN format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) ELSE '-' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) END"
 
 
 def _raw_figures(spark, d):
@@ -486,15 +486,15 @@ def json_map_rows(spark, d) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,bigint>")).alias("key", "value"))
 
 
-_CELLS = f"""{FACTS}, b AS (SELECT entity, concept, year, CASE WHEN year = 1996 THEN NULL ELSE round(value * CASE WHEN entity % 4 = 0 THEN 1.0000005 WHEN entity % 4 = 1 THEN 1.1 ELSE 1 END, 2) END AS expected FROM v),
+_CELLS = f"""{FACTS}, b AS (SELECT entity, concept, year, CASE WHEN year = 1996 THEN NULL ELSE round(CASE WHEN entity % 4 = 0 THEN value + 0.4 WHEN entity % 4 = 1 THEN value * 2 ELSE value END, 2) END AS expected FROM v),
     g AS (SELECT entity, concept, year, value AS got FROM v WHERE NOT (concept = 'Brand#3' AND year = 1996)),
     m AS (SELECT b.*, g.got, CASE WHEN expected IS NULL OR got IS NULL THEN expected IS NULL AND got IS NULL ELSE abs(expected - got) <= greatest(0.5, abs(expected) * 1e-6) END AS matched FROM b LEFT JOIN g USING (entity, concept, year))"""
 
 
 def _scored(spark, d):
     v = written(views.facts(spark, d), "facts")
-    off = F.when(F.col("entity") % 4 == 0, 1.0000005).when(F.col("entity") % 4 == 1, 1.1).otherwise(1.0)
-    b = v.withColumn("expected", F.when(F.col("year") != 1996, F.round(F.col("value") * off, 2)))
+    off = F.when(F.col("entity") % 4 == 0, F.col("value") + 0.4).when(F.col("entity") % 4 == 1, F.col("value") * 2).otherwise(F.col("value"))
+    b = v.withColumn("expected", F.when(F.col("year") != 1996, F.round(off, 2)))
     cells = F.sort_array(F.collect_list(F.struct("concept", F.col("year").cast("string").alias("period"), F.col("expected").alias("value"))))
     base = b.groupBy(F.col("entity").alias("name")).agg(F.array(F.struct(F.lit("http://v.test/role/Sales").alias("role"), F.lit("").alias("title"), cells.alias("cells"))).alias("statements"))
     docs = views.statements(v.filter(~((F.col("concept") == "Brand#3") & (F.col("year") == 1996))), (1990, 2005)).withColumnRenamed("pair", "name")
@@ -530,7 +530,7 @@ def render_markdown_rows(spark, d) -> DataFrame:
 
 
 @query("text_width", f"""WITH {FACTS}, r AS (SELECT entity, concept, {', '.join(f'max(value) FILTER (year = {y}) AS y{y}' for y in (1998, 1997))} FROM v WHERE year BETWEEN 1997 AND 1998 GROUP BY ALL),
-    w AS (SELECT entity, max(length(concept)) AS a, greatest(4, max(length({_TEXT.format('y1998')}))) AS b, greatest(4, max(length({_TEXT.format('y1997')}))) AS c FROM r GROUP BY entity)
+    w AS (SELECT entity, CAST(max(length(concept)) AS INTEGER) AS a, CAST(greatest(4, max(length({_TEXT.format('y1998')}))) AS INTEGER) AS b, CAST(greatest(4, max(length({_TEXT.format('y1997')}))) AS INTEGER) AS c FROM r GROUP BY entity)
     SELECT entity, 'Sales' || chr(10) || rpad('', a, ' ') || '  ' || lpad('1998', b, ' ') || '  ' || lpad('1997', c, ' ') || chr(10) || repeat('-', a + b + c + 4) || chr(10)
       || string_agg(rpad(concept, a, ' ') || '  ' || lpad({_TEXT.format('y1998')}, b, ' ') || '  ' || lpad({_TEXT.format('y1997')}, c, ' ') || chr(10), '' ORDER BY concept)
       || '(source: view; confidence: high)' || chr(10) || chr(10) AS text FROM r JOIN w USING (entity) GROUP BY entity, a, b, c""")
