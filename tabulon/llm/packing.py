@@ -51,7 +51,8 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
 
 def patterns(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
     """Packing patterns and their counts: lengths are placed longest first, each into packs with
-    the most room left, as many packs of a pattern at once as there are pieces."""
+    the most room left, as many packs of a pattern at once as there are pieces. Where none has
+    room, a new pack takes pieces of the length until it is full."""
     by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     rooms: list[int] = []  # ascending
     done: list[tuple[tuple[int, ...], int]] = []
@@ -78,10 +79,15 @@ def patterns(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[tupl
                     put(lens, have - n, room)
                 used = min(n, have)
                 put((*lens, size), used, room - size)
+                n -= used
             else:
-                used = n
-                put((size,), used, length - size)
-            n -= used
+                each = length // size
+                packs, rest = divmod(n, each)
+                if packs:
+                    put((size,) * each, packs, length - each * size)
+                if rest:
+                    put((size,) * rest, 1, length - rest * size)
+                n = 0
     return done + [x for room in rooms for x in by_room[room]]
 
 
