@@ -112,6 +112,8 @@ def _cut(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 def _matrices(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 20000):
     """Words of the same length as byte matrices with a leading space, and their places."""
     size = ends - starts
+    if not len(size):
+        return
     order = np.argsort(size, kind="stable")
     bounds = np.flatnonzero(np.diff(size[order], prepend=-1))
     for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)], strict=True):
