@@ -16,7 +16,7 @@ from tabulon.llm.blobs import Ranges
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 65535), min_size=1, max_size=300), min_size=1, max_size=4), st.integers(0, 3))
 def test_blocks(parts, few):
-    blocks = sorted((np.array(p, np.uint16) % (1 << (4 * few) if few else 65536) for p in parts), key=len, reverse=True)
+    blocks = sorted(((np.array(p) % (1 << (4 * few) if few else 65536)).astype(np.uint16) for p in parts), key=len, reverse=True)
     coded = R.encode_blocks(blocks)
     back = R.decode_blocks(coded, np.array([len(b) for b in blocks]))
     assert all((a == b).all() for a, b in zip(blocks, back, strict=True))
