@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm import textops as T
-from tabulon.llm.shared import schema_with
+from tabulon.llm.shared import schema_with, worker_cache
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Labelled documents a language is fitted on, at most: those of smallest seeded hash.
@@ -201,14 +201,12 @@ def train(labelled: DataFrame, path: str = VOCABULARY, fit_docs: int = FIT_DOCS)
     return fit(sample, path)
 
 
-_held: dict = {}
-
-
 def _scorer_of(shared, key: str):
-    if key not in _held:
-        _held.clear()
-        _held[key] = scorer(shared.value)
-    return _held[key]
+    held = worker_cache("langid")
+    if key not in held:
+        held.clear()
+        held[key] = scorer(shared.value)
+    return held[key]
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:

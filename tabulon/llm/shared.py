@@ -69,3 +69,14 @@ def crc32_of_id(col):
 def schema_with(df: DataFrame, *more: tuple[str, str]) -> StructType:
     """df's schema and further columns, each as (name, type)."""
     return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in more)).fields])
+
+
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(of: str) -> dict:
+    """What a worker keeps between the tasks of one operator; it holds one operator's at a time."""
+    if of not in _caches:
+        _caches.clear()
+        _caches[of] = {}
+    return _caches[of]

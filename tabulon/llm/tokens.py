@@ -11,9 +11,11 @@ import os
 
 import numpy as np
 
+from tabulon.llm.shared import worker_cache
+
 VOCABULARIES = "/opt/tokenizers"
 #: Parts that a worker's cache holds before it starts anew.
-HELD = 1_000_000
+HELD = 600_000
 _GROUP = 400
 
 
@@ -188,11 +190,9 @@ class ByteIds(_Cached):
                 self.cache[w] = b"".join([self.cache[c] for c in p])
 
 
-_made: dict = {}
-
-
 def encoder(kind: type, path: str):
     """The worker's encoder for a vocabulary, made once."""
-    if (kind, path) not in _made:
-        _made[kind, path] = kind(path)
-    return _made[kind, path]
+    made = worker_cache("tokens")
+    if (kind, path) not in made:
+        made[kind, path] = kind(path)
+    return made[kind, path]
