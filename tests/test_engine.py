@@ -142,3 +142,39 @@ def test_diff(zorb):
         zorb.diff("ZORB", 2023, 2024, layer="semantic")
     with pytest.raises(NotImplementedError):
         api.search("zorbs")
+
+
+def test_corpus(spark, tmp_path):
+    """A folder of corpus entries, scored and reported."""
+    from tabulon.operators import accuracy
+
+    d = tmp_path / "zorb"
+    d.mkdir()
+    (d / "z.htm").write_text(Z.page(2023, "1,234", "Risk."))
+    (d / "zorb_pre.xml").write_text(Z.presentation())
+    (d / "zorb_lab.xml").write_text(Z.label_linkbase())
+    (d / "zorb.xsd").write_text(Z.schema())
+    (d / "index.json").write_text(json.dumps({"directory": {"item": [{"name": n} for n in ("z.htm", "zorb_pre.xml", "zorb_lab.xml", "zorb.xsd")]}}))
+    recent = {"accessionNumber": [Z.NEW], "filingDate": ["2024-02-01"], "reportDate": ["2023-12-31"], "form": ["10-K"], "primaryDocument": ["z.htm"]}
+    (d / "submissions.json").write_text(json.dumps({"cik": str(Z.CIK), "name": "Zorb Works", "filings": {"recent": recent}}))
+    cells = [{"concept": "q:Sales", "period": "2023", "value": 1234000000.0}, {"concept": "q:Costs", "period": "2022", "value": -650000000.0}, {"concept": "q:Gross", "period": "2023", "value": 1.0}]
+    (d / "baseline.json").write_text(json.dumps({"ticker": "ZORB", "form": "10-K", "format": "IXBRL", "confidence": "high", "sections": ["1", "1A", "9"], "statements": [{"role": "", "title": "statements of operations", "cells": cells}]}))
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "notes.txt").write_text("no entry")
+    s = api.score(spark, str(tmp_path))
+    r = s.collect()
+    assert len(r) == 1 and (r[0]["matched_cells"], r[0]["total_cells"], r[0]["matched_sections"], r[0]["total_sections"]) == (2, 3, 2, 3)
+    assert any("66.7%" in x["line"] for x in accuracy.report(s).collect())
+
+
+def test_command_line(spark, landed, capsys):
+    from tabulon import __main__ as cli
+    from tabulon import __version__
+
+    assert cli.main(["version"]) == 0 and capsys.readouterr().out.strip() == __version__
+    a = cli.parser().parse_args(["--root", landed, "latest", "ZORB"])
+    assert cli.lines(a, spark)[0].split("\t")[:2] == [Z.NEW, "10-K"]
+    a = cli.parser().parse_args(["--root", landed, "detect", "ZORB", "--year", "2022"])
+    assert cli.lines(a, spark) == ["PlainText"]
+    with pytest.raises(NotFound):
+        cli.lines(cli.parser().parse_args(["--root", landed, "text", "NONE", "--section", "1"]), spark)
