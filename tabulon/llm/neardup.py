@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm import textops as T
@@ -24,9 +24,10 @@ REGISTERS = BANDS * ROWS
 #: Base of the register scale, rate of the exponentials, largest register.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Standard deviations by which an estimate may fall short of the threshold.
-SLACK = 5.0
-#: Pivots that the members of a bucket are compared with, one after the other.
-PIVOTS = 3
+SLACK = 4.5
+#: Bands whose buckets are looked at in each turn. A large group is linked by its first bands, so
+#: few of its members still differ in label when the others come.
+TURNS = (1, 4, BANDS, BANDS, BANDS)
 
 _rng = np.random.Generator(np.random.PCG64(8128))
 _MUL = _rng.integers(1, 2**31, REGISTERS, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -148,7 +149,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                     keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(d.mapInArrow(run, d.select("a", "b").schema), "links")
+    return written(d.mapInArrow(run, d.select("a", "b").schema), "links", 500)
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -163,11 +164,8 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key", "left_semi")
 
 
-def rarities(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """doc, common and alone: how many of a member's shingles another member has, and how many none.
-
-    It takes a row for each shingle of the members, however large their groups are.
-    """
+def set_rows(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """doc and s (the shingle set) of each text of the members."""
 
     def run(batches):
         for batch in batches:
@@ -177,26 +175,70 @@ def rarities(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc", "s"])
 
     some = texts.select(F.col("doc_id").alias("doc"), "text").join(members.select("doc").distinct(), "doc", "left_semi")
-    sets = written(some.mapInArrow(run, schema_with(some.select("doc"), ("s", "array<long>"))), "sets")
-    one = sets.select("doc", F.explode("s").alias("x"))
-    again = one.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1").select("x")
-    common = one.join(again, "x", "left_semi").groupBy("doc").agg(F.count("*").alias("common"))
-    out = written(sets.groupBy("doc").agg(F.max(F.size("s")).alias("n")).join(common, "doc").select("doc", "common", (F.col("n") - F.col("common")).alias("alone")), "rarities")
+    return written(some.mapInArrow(run, schema_with(some.select("doc"), ("s", "array<long>"))).dropDuplicates(["doc", "s"]), "sets", 1000)
+
+
+def low_bits(reps: DataFrame) -> DataFrame:
+    """doc and bits: the low four bits of each register, sixteen registers a number."""
+
+    def run(batches):
+        for batch in batches:
+            r = [np.frombuffer(x, np.uint16).astype(T.U64) & T.U64(15) for x in batch.column(1).to_pylist()]
+            bits = [(x.reshape(-1, 16) << (T.U64(4) * np.arange(16, dtype=T.U64))).sum(1, dtype=T.U64).view(np.int64) for x in r]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], names=["doc", "bits"])
+
+    d = reps.select(F.col("doc_id").alias("doc"), "reg")
+    return d.mapInArrow(run, schema_with(d.drop("reg"), ("bits", "array<long>")))
+
+
+def _differing(a, b):
+    """How many registers differ in their low bits."""
+    total = F.lit(0)
+    for i in range(REGISTERS // 16):
+        y = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        y = y.bitwiseOR(F.shiftrightunsigned(y, 1))
+        y = y.bitwiseOR(F.shiftrightunsigned(y, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(y)
+    return total
+
+
+def rare_pairs(members: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (doc, label) of different labels that may reach the threshold.
+
+    With the shingles of all members in one order, the rarest first, two sets that reach it
+    share one of their first n - ceil(n * percent / 100) + 1 each; after the first that they
+    share, both have enough left. Their sizes are near, and of their registers' low bits no
+    more differ than SLACK allows. All that is tested within the join, so a large group gives
+    pairs for what its members share beside what all have.
+    """
+    sets = set_rows(members, texts, width)
+    one = sets.select("doc", F.xxhash64("s").alias("own"), F.size("s").alias("n"), F.explode("s").alias("x"))
+    df = one.groupBy("x").agg(F.count("*").alias("df"))
+    nth = F.row_number().over(Window.partitionBy("doc", "own").orderBy("df", "x"))
+    first = one.join(df, "x").withColumn("nth", nth).filter((F.col("df") > 1) & (F.col("nth") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1))
+    first = written(first.select("doc", "n", F.col("x").alias("key"), "nth").join(members.select("doc", "label").distinct(), "doc").join(low_bits(reps.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")), "doc"), "rare")
     release(sets)
-    return out
+    some = _mixed(first)
+    side = lambda c: some.select("key", *[F.col(f).alias(f"{f}_{c}") for f in ("doc", "label", "n", "nth", "bits")])
+    share = percent / 100
+    off = (1 - share) * 15 / 16
+    most = float(REGISTERS * off + SLACK * np.sqrt(REGISTERS * off * (1 - off)))
+    na, nb = F.col("n_a"), F.col("n_b")
+    near = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    left = (100 + percent) * (1 + F.least(na - F.col("nth_a"), nb - F.col("nth_b"))) >= percent * (na + nb)
+    both = side("a").join(side("b"), "key").filter((F.col("doc_a") < F.col("doc_b")) & (F.col("label_a") != F.col("label_b")) & near & left & (_differing(F.col("bits_a"), F.col("bits_b")) <= most))
+    return both.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
 
 
 def linked(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
     """node, component of the linked documents of ``reps`` (one of each distinct set); None
     where none is.
 
-    In every bucket each member is compared with one pivot, the least at first; what that
-    links shares a label from then on. Buckets whose members still differ in label get
-    another pivot, PIVOTS times in all: a group of n costs n comparisons a bucket each time.
-    Who still differs is compared with all members of other labels in its buckets, each pair
-    in the first band it shares, unless shingles that no other member has rule that out: two
-    sets of which ``alone`` shingles each are in no other have at most s in s + alone + alone
-    in common, s being what the smaller has in common with anyone.
+    In each turn every member of a bucket whose members differ in label is compared with one
+    pivot of it; what that links shares a label from then on. The first turns look at few
+    bands: a group of n costs n comparisons a bucket and turn at most, and far fewer once its
+    first bands have linked it. Those who still differ from someone in a bucket after all turns
+    are compared by the rare shingles that they share.
     """
     exploded = reps.select(F.col("doc_id").alias("doc"), F.posexplode("keys").alias("band", "key"))
     shared = exploded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
@@ -214,27 +256,16 @@ def linked(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
             edges = found if edges is None else edges.union(found)
             labels = written(components(edges), "labels")
 
-    for turn in range(PIVOTS):
-        now = rows.withColumn("label", F.col("doc")) if turn == 0 else written(_mixed(_labelled(rows, labels)), "mixed")
-        order = F.struct("doc", "label") if turn == 0 else F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "label")
+    for turn, bands in enumerate(TURNS):
+        some = rows if bands == BANDS else rows.filter(F.col("band") < bands)
+        now = some.withColumn("label", F.col("doc")) if labels is None else written(_mixed(_labelled(some, labels)), "mixed")
+        order = F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "label")
         pivots = now.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.doc").alias("p"), F.col("p.label").alias("pl"))
         pairs = now.join(pivots, "key").filter("label <> pl").select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).distinct()
         take(pairs)
-    mixed = written(_mixed(_labelled(rows, labels)).select("doc", "key", "band"), "mixed")
+    mixed = written(_mixed(_labelled(rows, labels)).select("doc", "label").distinct(), "mixed")
     if not mixed.isEmpty():
-        # alone_a + alone_b <= common * (100 - percent) / percent, for the smaller common
-        able = rarities(mixed, texts, width).select("doc", "alone", (F.col("common") * (100 - percent) / percent).alias("room"))
-        mixed = _labelled(mixed.join(able, "doc"), labels)
-        for _ in range(2):  # out who has no room even beside the least of its bucket
-            mixed = _mixed(mixed)
-            least = mixed.groupBy("key").agg(F.min("alone").alias("least"))
-            mixed = mixed.join(least, "key").filter(F.col("alone") + F.col("least") <= F.col("room") + 1e-6).drop("least")
-        mixed = written(_mixed(mixed).join(reps.select(F.col("doc_id").alias("doc"), "keys"), "doc"), "mixed")
-        side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("doc", "label", "keys", "alone", "room")]
-        first = (F.col("band") == 0) | ~F.arrays_overlap(F.slice("keys_a", F.lit(1), F.col("band")), F.slice("keys_b", F.lit(1), F.col("band")))
-        room = F.col("alone_a") + F.col("alone_b") <= F.least("room_a", "room_b") + 1e-6
-        both = mixed.select("key", "band", *side("a")).join(mixed.select("key", *side("b")), "key")
-        take(both.filter("doc_a < doc_b and label_a <> label_b").filter(room & first).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
+        take(rare_pairs(mixed, reps, texts, width, percent))
     return labels
 
 
@@ -249,7 +280,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     table gives none. Columns other than doc_id and text aren't read.
     """
     docs = docs.select("doc_id", "text")
-    all_rows = written(sketch(docs, width), "sketch")
+    all_rows = written(sketch(docs, width), "sketch", 2000)
     full = all_rows.filter("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2", "n_shingles"), ["doc_id", "h1", "h2", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
@@ -38,12 +41,19 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, batch_rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: its lineage ends there, so a
-    lost executor costs a re-read and not the work before."""
+    lost executor costs a re-read and not the work before. ``batch_rows``: rows that Python
+    gets at once meanwhile, where rows are wide."""
     spark = df.sparkSession
     path = new_dir(spark, what)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        if batch_rows:
+            spark.conf.set(_BATCH, batch_rows)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
