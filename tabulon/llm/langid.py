@@ -23,7 +23,7 @@ FIT_DOCS = 400
 #: Longest piece in bytes, and how many bytes of a run the lattice takes at once.
 PIECE, SPAN = 16, 32
 _BASE = T.U64(0x100000001B3)
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 
 
 def load_pieces(path: str) -> list[bytes]:
