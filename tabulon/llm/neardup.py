@@ -27,7 +27,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 SLACK = 4.5
 #: Bands whose buckets are looked at in each turn. A large group is linked by its first bands, so
 #: few of its members still differ in label when the others come.
-TURNS = (1, 4, BANDS, BANDS, BANDS)
+TURNS = (1, 4, BANDS)
 
 _rng = np.random.Generator(np.random.PCG64(8128))
 _MUL = _rng.integers(1, 2**31, REGISTERS, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
