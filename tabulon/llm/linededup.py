@@ -1,7 +1,7 @@
-"""Line dedup by pairwise alignment of documents that share rare lines.
+"""Line dedup by pairwise alignment of documents that share block-sized runs of lines.
 
-A line is known by a hash of its text. Lines long enough to be rare in themselves, or in few
-documents, are anchors; a document is paired with the earliest one that has the anchor. Each
+A line is known by a hash of its text. The shortest runs of lines that are long enough to be
+deleted are anchors; a document is paired with the earliest one that has the anchor. Each
 pair's lines are aligned by patience diff, and common blocks are deleted from the later
 document. Only line hashes are moved for that; texts are read once more at the end.
 """
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from tabulon.llm import textops as T
 from tabulon.llm.shared import schema_with, written
 
-#: A line is an anchor from so many words on, or in so few documents.
-ANCHOR_WORDS, RARE = 8, 3
 #: A common block is deleted from so many words on.
 BLOCK_WORDS = 20
 _NEWLINE = np.zeros(256, bool)
@@ -101,8 +99,31 @@ def common_blocks(x: list[int], y: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def shred(docs: DataFrame) -> DataFrame:
-    """doc_id, lines and words: hashes and word counts of each document's lines with a word."""
+def windows(lines: np.ndarray, words: np.ndarray, before: np.ndarray, block_words: int):
+    """Hashes, first lines, ends and documents of the shortest runs of lines that reach
+    ``block_words`` words, from each line on and up to each line. A run lies in one document.
+
+    Each line of a run of so many words that two documents have lies in a shortest run that
+    both have: in the one from it on, or else in the one up to the run's end.
+    """
+    total = np.r_[0, np.cumsum(words, dtype=np.int64)]
+    n = len(lines)
+    doc = np.repeat(np.arange(len(before) - 1), np.diff(before))
+    on = np.searchsorted(total, total[:-1] + block_words)
+    back = np.searchsorted(total, total[1:] - block_words, "right") - 1
+    a, z = np.r_[np.arange(n), np.maximum(back, 0)], np.r_[on, np.arange(1, n + 1)]
+    doc = np.r_[doc, doc]
+    fits = (z <= before[doc + 1]) & (a >= before[doc]) & np.r_[np.ones(n, bool), back >= 0]
+    a, z, doc = a[fits], z[fits], doc[fits]
+    pw, inv = T._powers(n)
+    with np.errstate(over="ignore"):
+        sums = np.r_[T.U64(0), np.cumsum(lines * pw, dtype=T.U64)]
+        return T.fmix((sums[z] - sums[a]) * inv[a] + (z - a).astype(T.U64) * T.U64(0xD6E8FEB86659FD93)), a, z, doc
+
+
+def shred(docs: DataFrame, block_words: int) -> DataFrame:
+    """doc_id, lines, words and windows: hashes and word counts of each document's lines with a
+    word, and the distinct hashes of its block-sized runs of lines."""
 
     def run(batches):
         for batch in batches:
@@ -111,20 +132,27 @@ def shred(docs: DataFrame) -> DataFrame:
                 buf, off = buf_all[off_all[lo] : off_all[hi]], off_all[lo : hi + 1] - off_all[lo]
                 h, w, _, _, before = lines_of(buf, off)
                 cut = pa.array(before.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(w.astype(np.int32)))], names=["doc_id", "lines", "words"])
+                key, _, _, of = windows(h, w, before, block_words)
+                order = np.lexsort((key, of))
+                key, of = key[order], of[order]
+                new = np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])] if len(key) else np.zeros(0, bool)
+                runs = pa.array(np.searchsorted(of[new], np.arange(hi - lo + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(w.astype(np.int32))), pa.ListArray.from_arrays(runs, pa.array(key[new].view(np.int64)))],
+                    names=["doc_id", "lines", "words", "windows"],
+                )
 
     d = docs.select("doc_id", "text")
-    return d.mapInArrow(run, schema_with(d.drop("text"), ("lines", "array<long>"), ("words", "array<int>")))
+    return d.mapInArrow(run, schema_with(d.drop("text"), ("lines", "array<long>"), ("words", "array<int>"), ("windows", "array<long>")))
 
 
-def overlaps(rows: DataFrame, anchor_words: int, rare: int) -> DataFrame:
+def overlaps(rows: DataFrame) -> DataFrame:
     """Pairs (earlier, later) of documents with a common anchor: each document with the
-    earliest holder of each of its anchors, so a line in most documents gives as many pairs as
-    it has holders."""
-    one = rows.select("doc_id", F.explode(F.arrays_zip("lines", "words")).alias("l")).select("doc_id", F.col("l.lines").alias("line"), F.col("l.words").alias("w")).distinct()
-    held = one.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.count("*").alias("df"), F.max("w").alias("w"))
-    held = held.filter((F.col("df") > 1) & ((F.col("w") >= anchor_words) | (F.col("df") <= rare))).select("line", "earlier")
-    return one.join(held, "line").filter("doc_id <> earlier").select("earlier", F.col("doc_id").alias("later")).distinct()
+    earliest holder of each of its windows, so a window in most documents gives as many pairs
+    as it has holders."""
+    one = rows.select("doc_id", F.explode("windows").alias("window"))
+    held = one.groupBy("window").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last")).filter("earlier < last").select("window", "earlier")
+    return one.join(held, "window").filter("doc_id <> earlier").select("earlier", F.col("doc_id").alias("later")).distinct()
 
 
 def aligned(rows: DataFrame, pairs: DataFrame, block_words: int) -> DataFrame:
@@ -148,7 +176,7 @@ def aligned(rows: DataFrame, pairs: DataFrame, block_words: int) -> DataFrame:
     return found.select("doc_id", F.explode("drop").alias("n")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("n")).alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, rare: int = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """All columns of docs, text without the deleted lines, and n_lines, n_removed, words_removed.
 
     Of documents that share a block of lines, the one of smallest doc_id keeps it. A block is
@@ -161,8 +189,8 @@ def dedup_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, rare: int = R
     """
     own = ("n_lines", "n_removed", "words_removed")
     docs = docs.drop(*own)
-    rows = written(shred(docs.select("doc_id", "text").filter("doc_id is not null and text is not null")), "lines")
-    pairs = written(overlaps(rows, anchor_words, rare), "overlaps")
+    rows = written(shred(docs.select("doc_id", "text").filter("doc_id is not null and text is not null"), block_words), "lines")
+    pairs = written(overlaps(rows), "overlaps")
     drop = written(aligned(rows, pairs, block_words), "aligned")
     # by shuffle at any size: what is deleted grows with the corpus
     d = docs.join(drop.hint("merge"), "doc_id", "left").select(*docs.columns, "drop")

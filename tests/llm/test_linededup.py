@@ -72,3 +72,13 @@ def test_edges(spark, edges, nothing):
     same = passage(7)
     copies = spark.createDataFrame([(i, same, "clash") for i in range(5)], "doc_id long, text string, n_lines string")
     assert sorted((r["doc_id"], r["text"] == same, r["text"] == "") for r in D.dedup_lines(copies).collect()) == [(0, True, False), *((i, False, True) for i in range(1, 5))]
+
+
+def test_short_lines(spark):
+    """A passage laid out in short lines goes from all but the first of its holders, however many
+    they are; so do whole documents of short lines."""
+    verse = "\n".join(f"verse {i} of a few words" for i in range(9))
+    rows = [(i, f"own beginning {i}\n{verse}\nown end {i}") for i in range(6)] + [(10 + i, "\n".join(f"entry {j} of list" for j in range(8))) for i in range(5)]
+    out = {r["doc_id"]: r["text"] for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == rows[0][1] and out[10] == rows[6][1]
+    assert all(out[i] == f"own beginning {i}\nown end {i}" for i in range(1, 6)) and all(out[i] == "" for i in range(11, 15))
