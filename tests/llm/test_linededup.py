@@ -82,3 +82,11 @@ def test_short_lines(spark):
     out = {r["doc_id"]: r["text"] for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[0] == rows[0][1] and out[10] == rows[6][1]
     assert all(out[i] == f"own beginning {i}\nown end {i}" for i in range(1, 6)) and all(out[i] == "" for i in range(11, 15))
+
+
+def test_scattered_lines(spark):
+    """The lines of a block have other earliest holders than the block itself."""
+    one, two = "first line of the block that has eleven words in it", "second line of the block that has just as many words"
+    rows = [(1, f"a\n{one}\nb"), (2, f"c\n{two}\nd"), (3, f"e\n{one}\n{two}\nf"), (4, f"g\n{one}\n{two}\nh")]
+    out = {r["doc_id"]: r["text"] for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {**dict(rows[:3]), 4: "g\nh"}
