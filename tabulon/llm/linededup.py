@@ -50,12 +50,6 @@ def common_blocks(x: list[int], y: list[int]) -> list[tuple[int, int, int]]:
     todo = [(0, len(x), 0, len(y))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
-        while a0 < a1 and b0 < b1 and x[a0] == y[b0]:
-            pairs.append((a0, b0))
-            a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and x[a1 - 1] == y[b1 - 1]:
-            a1, b1 = a1 - 1, b1 - 1
-            pairs.append((a1, b1))
         if a0 == a1 or b0 == b1:
             continue
         at: dict[int, int | None] = {}
@@ -82,6 +76,15 @@ def common_blocks(x: list[int], y: list[int]) -> list[tuple[int, int, int]]:
             chain.append(once[n])
             n = back[n]
         if not chain:
+            n = len(pairs)
+            while a0 < a1 and b0 < b1 and x[a0] == y[b0]:
+                pairs.append((a0, b0))
+                a0, b0 = a0 + 1, b0 + 1
+            while a0 < a1 and b0 < b1 and x[a1 - 1] == y[b1 - 1]:
+                a1, b1 = a1 - 1, b1 - 1
+                pairs.append((a1, b1))
+            if len(pairs) > n:  # what is left may have lines that are unique in it
+                todo.append((a0, a1, b0, b1))
             continue
         i0, j0 = a0, b0
         for i, j in reversed(chain):
@@ -155,22 +158,48 @@ def overlaps(rows: DataFrame) -> DataFrame:
     return one.join(held, "window").filter("doc_id <> earlier").select("earlier", F.col("doc_id").alias("later")).distinct()
 
 
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column and its n + 1 offsets in them."""
+    at = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(), at - at[0]
+
+
+def _of_row(key: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Hashes made different between rows."""
+    with np.errstate(over="ignore"):
+        return T.fmix(key + (of.astype(T.U64) + T.U64(1)) * T.U64(0x9E3779B97F4A7C15))
+
+
 def aligned(rows: DataFrame, pairs: DataFrame, block_words: int) -> DataFrame:
-    """doc_id and drop: the numbers of the lines that the alignments delete from it."""
-    side = lambda c, *more: rows.select(F.col("doc_id").alias(c), F.col("lines").alias(f"l_{c}"), *more)
-    d = pairs.join(side("earlier"), "earlier").join(side("later", "words"), "later").select("later", "l_earlier", "l_later", "words")
+    """doc_id and drop: the numbers of the lines that the alignments delete from it.
+
+    A diff pairs a passage once at most and in order. So runs of the later document that stand
+    anywhere else in the earlier one, repeated in either or moved, are matched beside it.
+    """
+    side = lambda c: rows.select(F.col("doc_id").alias(c), F.col("lines").alias(f"l_{c}"), F.col("words").alias(f"w_{c}"))
+    d = pairs.join(side("earlier"), "earlier").join(side("later"), "later").select("later", "l_earlier", "w_earlier", "l_later", "w_later")
 
     def run(batches):
         for batch in batches:
-            out = []
-            for x, y, w in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                total = np.r_[0, np.cumsum(w)]
-                drop: list[int] = []
-                for _, j, n in common_blocks(x, y):
-                    if total[j + n] - total[j] >= block_words:
-                        drop += range(j, j + n)
-                out.append(drop)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "drop"])
+            (x, x_at), (v, _), (y, y_at), (w, _) = (_flat(batch.column(i)) for i in (1, 2, 3, 4))
+            x, y = x.view(T.U64), y.view(T.U64)
+            total = np.r_[0, np.cumsum(w, dtype=np.int64)]
+            there, _, _, x_of = windows(x, v, x_at, block_words)
+            here, a, z, y_of = windows(y, w, y_at, block_words)
+            again = np.isin(_of_row(here, y_of), _of_row(there, x_of))
+            edge = np.zeros(len(y) + 1, np.int64)
+            np.add.at(edge, a[again], 1)
+            np.add.at(edge, z[again], -1)
+            gone = np.cumsum(edge[:-1]) > 0
+            for k in range(batch.num_rows):
+                lo = y_at[k]
+                for _, j, n in common_blocks(x[x_at[k] : x_at[k + 1]].tolist(), y[lo : y_at[k + 1]].tolist()):
+                    if total[lo + j + n] - total[lo + j] >= block_words:
+                        gone[lo + j : lo + j + n] = True
+            at = np.flatnonzero(gone)
+            cut = np.searchsorted(at, y_at)
+            number = at - np.repeat(y_at[:-1], np.diff(cut))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(number.astype(np.int32)))], names=["doc_id", "drop"])
 
     found = d.mapInArrow(run, "doc_id long, drop array<int>")
     return found.select("doc_id", F.explode("drop").alias("n")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("n")).alias("drop"))
@@ -180,8 +209,8 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """All columns of docs, text without the deleted lines, and n_lines, n_removed, words_removed.
 
     Of documents that share a block of lines, the one of smallest doc_id keeps it. A block is
-    a run of lines aligned in both, of ``block_words`` words at least; shorter common lines
-    stay. Lines without a word belong to none and stay. A null text or doc_id stays as it is
+    a run of lines in both, of ``block_words`` words at least; each time the later one has
+    it, it goes. Shorter common lines stay. Lines without a word belong to none and stay. A null text or doc_id stays as it is
     (n_lines of a null text is 0); rows with one doc_id are one document, of which each row
     loses the lines that any of their alignments names by number; equal lines of one document
     aren't its overlap with another. An empty table gives none. A document that loses all its

@@ -1,5 +1,7 @@
 """Aligned blocks are common and in order; the later document loses them, and nothing else."""
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -90,3 +92,23 @@ def test_scattered_lines(spark):
     rows = [(1, f"a\n{one}\nb"), (2, f"c\n{two}\nd"), (3, f"e\n{one}\n{two}\nf"), (4, f"g\n{one}\n{two}\nh")]
     out = {r["doc_id"]: r["text"] for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {**dict(rows[:3]), 4: "g\nh"}
+
+
+def test_against_all_runs(spark):
+    """A line goes if it lies in a run of 20 words or more that an earlier document has anywhere:
+    repeated in either, moved, or with nothing unique about it."""
+    rng = random.Random(3)
+    line = [" ".join([f"l{i}"] * n) for i, n in enumerate([1, 2, 3, 5, 7, 8, 11, 19, 20, 30])]
+    docs = {i: [rng.choice(line) for _ in range(rng.randint(0, 14))] for i in range(60)}
+    block = [f"{i} of ten words in a line of the passage" for i in range(6)]
+    docs |= {100: ["a", *block, "b"], 101: ["c", *block, "d", *block, "e"], 102: [*block[3:], *block[:3]]}
+    rows = [(i, "\n".join(x)) for i, x in docs.items()]
+    runs: set = set()
+    want = {}
+    for i, x in docs.items():
+        spans = [(a, z) for a in range(len(x)) for z in range(a + 1, len(x) + 1) if len(" ".join(x[a:z]).split()) >= 20]
+        gone = {n for a, z in spans if tuple(x[a:z]) in runs for n in range(a, z)}
+        want[i] = "\n".join(v for n, v in enumerate(x) if n not in gone)
+        runs |= {tuple(x[a:z]) for a, z in spans}
+    out = {r["doc_id"]: r["text"] for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == want and out[101] == "c\nd\ne" and out[102] == ""
