@@ -35,6 +35,8 @@ SCOPE = frozenset("html table td th caption object applet marquee template".spli
 #: Subtrees that aren't shown.
 UNSEEN = frozenset(("ix:header", "ix:hidden", "script", "style"))
 SECTIONS = ("tbody", "thead", "tfoot")
+#: Tags that count only within a table.
+TABLE_PARTS = frozenset(("caption", "col", "colgroup", "td", "th", "tr", *SECTIONS))
 _SPACES = re.compile(r"\s+")
 
 
@@ -153,6 +155,8 @@ class Shredder(HTMLParser):
         for k, v in attrs:
             a.setdefault(k, v or "")
         part = self._table_tag()
+        if part is None and tag in TABLE_PARTS:
+            return  # outside a table its parts' tags don't count
         if tag in SECTIONS and part:
             self._back_to("table")
         elif tag == "tr" and part:

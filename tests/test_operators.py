@@ -1,7 +1,7 @@
 """Single operators on small inputs, with nulls, ties and empty tables."""
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -43,6 +43,9 @@ def test_tree():
 
 
 @settings(max_examples=60, deadline=None)
+@example(["<tr>", "<tr>"])
+@example(["<td>", "<tr>"])
+@example(["</p>", "<tr>", "<tr>"])
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<table>", "</table>", "<tr>", "<td>", "</td>", "<li>", "<ul>", "</ul>", "<b>", "</b>", "x", " y ", "<ix:a>", "</ix:a>", "<div>", "</div>", "<br>", "</tr>"]), max_size=40))
 def test_any_soup(parts):
     rows = shred.shred_document("".join(parts))
