@@ -1,6 +1,7 @@
 """Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks.
 
-Only DataFrame functions; nothing is collected.
+The blocks of the whole mix go to sources by highest quotients, and a source's blocks to its
+shards likewise. Only DataFrame functions; what comes to the driver is a row of totals.
 """
 
 from __future__ import annotations
@@ -8,9 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.llm.shared import written
+
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words of a block, wished words of a shard, most shards of a source.
-BLOCK, SHARD_WORDS, MAX_SHARDS = 64, 1 << 20, 1024
+#: Words of a block, wished words of a shard.
+BLOCK, SHARD_WORDS = 64, 1 << 20
+#: Divisors that one pass over the items tries for each group, and passes.
+TRIED, PASSES = 32, 4
+
+
+def running(df: DataFrame, order: list, sums: dict) -> DataFrame:
+    """df with _rank (from 0) in ``order`` and, for each of ``sums``, its sum over the rows
+    before. Rows are sorted in ranges: a task holds a range, and one row a range is summed up."""
+    d = written(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "ranked").withColumn("_p", F.shiftrightunsigned("_id", 33))
+    inside = Window.partitionBy("_p").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    all_sums = {"_rank": F.lit(1), **sums}
+    per = d.groupBy("_p").agg(*[F.sum(e).alias(k) for k, e in all_sums.items()])
+    per = per.select("_p", *[F.coalesce(F.sum(k).over(ranges), F.lit(0)).alias(f"_before{k}") for k in all_sums])
+    for k, e in all_sums.items():
+        d = d.withColumn(k, F.coalesce(F.sum(e).over(inside), F.lit(0)))
+    d = d.join(F.broadcast(per), "_p")
+    return d.select(*df.columns, *[(F.col(k) + F.col(f"_before{k}")).alias(k) for k in all_sums])
 
 
 def source_targets(per_source: DataFrame, weights: list[int], share: float, ceiling: float) -> DataFrame:
@@ -20,20 +40,47 @@ def source_targets(per_source: DataFrame, weights: list[int], share: float, ceil
     times all words; a target stops at ``ceiling`` times its source's size and what is over
     goes to the others by weight until none is above: with the sources in order of
     size / weight, the k first are full, and the others get one rate times their weight.
-    The windows run over one row a source.
     """
-    by_name = Window.partitionBy(F.lit(1)).orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    d = per_source.withColumn("w", w.cast("double")).withColumn("most", ceiling * F.col("source_size"))
-    fill = Window.partitionBy(F.lit(1)).orderBy(F.col("most") / F.col("w"), F.col("source").asc_nulls_last())
-    before, everyone = fill.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
-    d = d.withColumn("total", F.sum("source_size").over(everyone) * F.lit(share))
-    d = d.withColumn("left", F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-    d = d.withColumn("w_left", F.sum("w").over(everyone) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
+    d = running(per_source, [F.col("source").asc_nulls_last()], {})
+    d = d.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int")).cast("double")).drop("_rank")
+    d = written(d.withColumn("most", ceiling * F.col("source_size")), "sources")
+    words, weight = d.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).collect()[0]
+    fill = running(d, [F.col("most") / F.col("w"), F.col("source").asc_nulls_last()], {"_full": F.col("most"), "_weight": F.col("w")})
     # the first source in this order that its rate doesn't fill sets the rate of all after it
-    d = d.withColumn("rate", F.col("left") / F.col("w_left")).withColumn("open", F.col("most") > F.col("rate") * F.col("w"))
-    rate = F.min_by(F.when(F.col("open"), F.col("rate")), F.when(F.col("open"), F.col("most") / F.col("w"))).over(everyone)
-    return d.select("source", "source_size", F.round(F.coalesce(F.least(F.col("most"), rate * F.col("w")), F.col("most")), 6).alias("target"))
+    rate = (F.lit(share * words) - F.col("_full")) / (F.lit(weight) - F.col("_weight"))
+    found = fill.filter(F.col("most") > rate * F.col("w")).agg(F.min_by(rate, "_rank")).collect()[0][0]
+    target = F.col("most") if found is None else F.least(F.col("most"), F.lit(found) * F.col("w"))
+    return d.select("source", "source_size", F.round(target, 6).alias("target"))
+
+
+def apportion(items: DataFrame, seats: str = "_seats") -> DataFrame:
+    """_group, _item and _q: of each group's seats (``seats``, the same on its rows) those of the
+    highest quotients _weight / (2k + 1); ties go to the smaller _item.
+
+    The divisor whose rounded shares sum to the seats is closed in on for all groups at once,
+    TRIED divisors in each of PASSES aggregations, so what is left to rank is the few quotients
+    between the last two divisors and those that tie.
+    """
+    w = F.col("_weight")
+    some = items.filter((w > 0) & (F.col(seats) > 0))
+    n, total = F.col("_n") / 2, F.col("_total")
+    d = some.groupBy("_group").agg(F.count("*").alias("_n"), F.sum("_weight").alias("_total"), F.max("_weight").alias("_top"), F.max(seats).alias("_k"))
+    above = F.when(F.col("_k") > n, F.least(total / (F.col("_k") - n), 2.001 * F.col("_top"))).otherwise(2.001 * F.col("_top"))
+    divisors = written(d.select("_group", "_k", (total / (F.col("_k") + n) * 0.999).alias("_lo"), (above * 1.001).alias("_hi")), "divisors")
+    of = lambda divisor: F.floor(w / divisor + 0.5)
+    for _ in range(PASSES):
+        step = lambda j: F.col("_lo") * F.pow(F.col("_hi") / F.col("_lo"), F.lit(j / TRIED))
+        tried = some.join(divisors, "_group").groupBy("_group", "_k", "_lo", "_hi").agg(*[F.sum(of(step(j))).alias(f"s{j}") for j in range(1, TRIED)])
+        lo = F.greatest("_lo", *[F.when(F.col(f"s{j}") >= F.col("_k"), step(j)) for j in range(1, TRIED)])
+        hi = F.least("_hi", *[F.when(F.col(f"s{j}") <= F.col("_k"), step(j)) for j in range(1, TRIED)])
+        divisors = written(tried.select("_group", "_k", lo.alias("_lo"), hi.alias("_hi")), "divisors")
+    d = some.join(divisors, "_group").select("_group", "_item", "_weight", "_k", of(F.col("_hi")).alias("_base"), F.greatest(of(F.col("_hi")), of(F.col("_lo"))).alias("_most"))
+    need = d.groupBy("_group").agg((F.max("_k") - F.sum("_base")).alias("_need"))
+    close = d.filter("_most > _base").withColumn("_kth", F.explode(F.sequence("_base", F.col("_most") - 1)))
+    by_quotient = Window.partitionBy("_group").orderBy((w / (2 * F.col("_kth") + 1)).desc(), "_item", "_kth")
+    won = close.withColumn("_nth", F.row_number().over(by_quotient)).join(need, "_group").filter("_nth <= _need").groupBy("_group", "_item").agg(F.count("*").alias("_won"))
+    d = d.join(won, ["_group", "_item"], "left").select("_group", "_item", (F.col("_base") + F.coalesce("_won", F.lit(0))).cast("long").alias("_q"))
+    return items.select("_group", "_item").join(d, ["_group", "_item"], "left").select("_group", "_item", F.coalesce("_q", F.lit(0)).cast("long").alias("_q"))
 
 
 def mix(
@@ -44,23 +91,21 @@ def mix(
     seed: str = "mix",
     block: int = BLOCK,
     shard_words: int = SHARD_WORDS,
-    max_shards: int = MAX_SHARDS,
 ) -> DataFrame:
     """All columns of docs plus size, source_size, target and taken.
 
-    A source's quota is the number of blocks of ``block`` words that the highest quotients
-    target / (2k + 1) give it with the divisor ``block``. Its documents lie in shards by a
-    seeded digest, and its quota goes to its shards by their highest quotients too. A shard's
-    documents, in seeded order, are a line of words cut into blocks; the shard takes whole
-    rounds of the line while its quota lasts, then a run of blocks from a seeded start.
+    The mix has as many blocks of ``block`` words as all targets make. They go to sources by
+    the highest quotients target / (2k + 1). A source's documents lie in shards by a seeded
+    digest, and its quota goes to its shards by their highest quotients too. A shard's
+    documents, in seeded order, are a ring of words; the shard takes whole rounds of it while
+    its quota lasts, then a run of blocks from the seeded one on.
     ``taken`` is how many words of a document that takes, repeats counted: at most
     ``ceiling`` rounded up times its size.
 
     Null or empty texts have size 0 and nothing taken; a null source is a source of its own;
     an empty table gives none; repeated rows each have their place on the line. Other columns
     of docs go through; if one has a name of the result's, the result's replaces it.
-    A hot source has up to ``max_shards`` shards, so no task holds all of it; the tables of
-    sources and of shards have a row for each.
+    A source has a shard for each ``shard_words`` words, so no task holds all of a hot one.
     """
     own = ("size", "source_size", "target", "taken")
     d = docs.drop(*own)
@@ -68,30 +113,23 @@ def mix(
     d = d.withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
     per_source = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(per_source, list(weights), share, ceiling)
-    targets = targets.withColumn("_n", F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("int"))
-    targets = targets.withColumn("_quota", F.floor(F.col("target") / block + 0.5).cast("long"))
-
     # a null-safe key for the joins below
     named = lambda x: x.withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
-    t = named(targets).drop("source")
-    d = named(d).join(t, "_s").withColumn("_shard", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.col("_n").cast("long")))
-
-    shards = d.groupBy("_s", "_shard").agg(F.sum("size").alias("_words"), F.first("_quota").alias("_quota"), F.first("source_size").alias("source_size"))
-    of_source = Window.partitionBy("_s")
-    s = shards.withColumn("_near", F.floor(F.when(F.col("source_size") > 0, F.col("_quota") * F.col("_words") / F.col("source_size")).otherwise(0.0) + 0.5).cast("long"))
-    s = s.withColumn("_off", F.abs(F.sum("_near").over(of_source) - F.col("_quota")))
-    s = s.withColumn("_base", F.greatest(F.lit(0), F.col("_near") - F.col("_off") - 1).cast("long"))
-    s = s.withColumn("_need", F.col("_quota") - F.sum("_base").over(of_source))
-    seats = s.withColumn("_k", F.explode(F.sequence("_base", F.col("_near") + F.col("_off") + 1)))
-    by_quotient = Window.partitionBy("_s").orderBy((F.col("_words") / (2 * F.col("_k") + 1)).desc(), "_shard", "_k")
-    seats = seats.withColumn("_won", (F.row_number().over(by_quotient) <= F.col("_need")).cast("long"))
-    quotas = seats.groupBy("_s", "_shard").agg(F.max("_words").alias("_words"), (F.max("_base") + F.sum("_won")).alias("_q"))
-    quotas = quotas.withColumn("_blocks", F.ceil(F.col("_words") / block).cast("long"))
-    quotas = quotas.withColumn("_rounds", F.when(F.col("_blocks") > 0, F.least(F.floor(F.col("_q") / F.col("_blocks")), F.lit(ceiling).cast("long"))).otherwise(0).cast("long"))
-    quotas = quotas.withColumn("_rest", F.when((F.col("_rounds") < ceiling) & (F.col("_blocks") > 0), F.col("_q") - F.col("_rounds") * F.col("_blocks")).otherwise(0))
+    t = written(named(targets).drop("source").withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")), "targets")
+    blocks = int((t.agg(F.coalesce(F.sum("target"), F.lit(0.0))).collect()[0][0] / block) + 0.5)
+    sources = apportion(t.select(F.lit(0).alias("_group"), F.col("_s").alias("_item"), F.col("target").alias("_weight"), F.lit(blocks).alias("_seats")))
+    sources = written(sources.select(F.col("_item").alias("_s"), F.col("_q").alias("_seats")), "quotas")
+    d = named(d).join(t, "_s").withColumn("_shard", F.pmod(F.conv(F.substring("_key", 1, 15), 16, 10).cast("long"), F.col("_n")))
+
+    shards = written(d.groupBy("_s", "_shard").agg(F.sum("size").alias("_words")), "shards")
+    items = written(shards.join(sources, "_s").select(F.col("_s").alias("_group"), F.col("_shard").alias("_item"), F.col("_words").cast("double").alias("_weight"), "_seats"), "items")
+    quotas = shards.join(apportion(items).select(F.col("_group").alias("_s"), F.col("_item").alias("_shard"), "_q"), ["_s", "_shard"])
+    words, wanted = F.col("_words"), F.col("_q") * block
+    quotas = quotas.withColumn("_rounds", F.when(words > 0, F.least(F.floor(wanted / words), F.lit(int(ceiling)))).otherwise(0).cast("long"))
+    quotas = quotas.withColumn("_rest", F.when((F.col("_rounds") < ceiling) & (words > 0), wanted - F.col("_rounds") * words).otherwise(0))
     start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("_s"), F.col("_shard").cast("string"))), 1, 8), 16, 10).cast("long")
-    quotas = quotas.withColumn("_lo", F.when(F.col("_blocks") > 0, F.pmod(start, F.col("_blocks")) * block).otherwise(0))
-    quotas = quotas.withColumn("_hi", F.col("_lo") + F.col("_rest") * block).withColumn("_round", F.col("_blocks") * block)
+    quotas = quotas.withColumn("_lo", F.when(words > 0, F.pmod(start, F.ceil(words / block)) * block).otherwise(0))
+    quotas = quotas.withColumn("_hi", F.col("_lo") + F.col("_rest")).withColumn("_round", words)
 
     line = Window.partitionBy("_s", "_shard").orderBy("_key", "doc_id", "size")
     d = d.withColumn("_end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_start", F.col("_end") - F.col("size"))

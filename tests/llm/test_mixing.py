@@ -54,6 +54,33 @@ def test_shards(small):
         assert abs(taken - target) <= 0.05 * target + 40 * M.BLOCK
 
 
+def by_quotients(weights, seats):
+    won = [0] * len(weights)
+    for _ in range(seats):
+        i = max(range(len(weights)), key=lambda i: (weights[i] / (2 * won[i] + 1), -i))
+        won[i] += 1
+    return won
+
+
+def test_apportion(spark):
+    """Seats by the highest quotients, one by one; ties to the smaller item."""
+    groups = {"a": ([5.0, 3.0, 1.0, 0.0], 7), "b": ([1.0] * 9, 4), "c": ([1000.0, 1.0, 1.0], 1), "d": ([2.0, 2.0], 0), "e": ([float(k * k % 97 + 1) for k in range(60)], 500), "f": ([0.0], 3)}
+    rows = [(g, i, w, seats) for g, (ws, seats) in groups.items() for i, w in enumerate(ws)]
+    got: dict = {}
+    for r in M.apportion(spark.createDataFrame(rows, "_group string, _item long, _weight double, _seats long")).collect():
+        got.setdefault(r["_group"], {})[r["_item"]] = r["_q"]
+    for g, (ws, seats) in groups.items():
+        assert [got[g][i] for i in range(len(ws))] == (by_quotients(ws, seats) if any(ws) else [0] * len(ws)), g
+
+
+def test_many_sources(spark):
+    """A source a document, as with addresses: what is taken in all comes near the mix's size."""
+    d = spark.range(900).selectExpr("id AS doc_id", "repeat('w ', cast(20 + id % 300 AS int)) AS text", "concat('u', id) AS source")
+    out = M.mix(d).collect()
+    want = targets({r["source"]: r["size"] for r in out})
+    assert all(abs(r["target"] - want[r["source"]]) < 1e-5 for r in out) and abs(sum(r["taken"] for r in out) - sum(want.values())) < 0.05 * sum(want.values())
+
+
 def test_edges(edges, nothing):
     out = check(edges, 3 * M.BLOCK)
     assert len(out) == edges.count() and {"kept", "n_chars"} <= set(out[0]) and all(r["size"] == 0 and r["taken"] == 0 for r in out if r["doc_id"] in (1, 2, 3))
