@@ -3,7 +3,9 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.llm import ann
 from tabulon.llm.queries import QUERIES
@@ -36,6 +38,33 @@ def test_recall(spark):
             assert s == pytest.approx(float(np.sqrt(((x[ids.index(q)] - x[ids.index(i)]) ** 2).sum())), abs=1e-12)
 
 
+def test_recall_of_many_lists(spark):
+    """50,000 vectors on hundreds of lists, of which a query searches a small part."""
+    rng = np.random.default_rng(11)
+    spread = rng.normal(size=(400, 24)) * 3
+    x = (spread[rng.integers(0, 400, 50_000)] + rng.normal(size=(50_000, 24))).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    seen: list = []
+    ask = df.filter("vec_id % 200 = 0")
+    got: dict = {}
+    for r in ann.nearest(df, ask).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    y = x.astype(np.float64)
+    hit = 0
+    for q in range(0, 50_000, 200):
+        d = ((y - y[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argpartition(d, 10)[:10].tolist()))
+    assert len(got) == 250 and hit / 2500 >= 0.9
+    distinct = df.select(F.col("embedding").cast("array<double>").alias("embedding"), F.col("vec_id").alias("rep"))
+    centres = ann.centres_of(distinct, len(x))
+    graph = ann.Graph(centres)
+    for q in range(0, 50_000, 2000):
+        found, dist = graph.search(y[q], ann.BEAM)
+        seen.append((dist <= ann.RATIO * dist[0]).sum())
+    assert len(centres) > 200 and np.mean(seen) < 0.25 * len(centres)
+
+
 def test_ties_nulls_copies(spark):
     v = [(i, [1.0, float(i % 3)], "clash") for i in range(40)] + [(100, None, "x"), (101, [0.0, 0.0], "x"), (102, [1.0, None], "x"), (103, [float("nan"), 1.0], "x"), (104, [1.0], "x"), (None, [1.0, 1.0], "x"), (5, [1.0, 2.0], "x")]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>, score string")
