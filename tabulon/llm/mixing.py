@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.shared import written
+from tabulon.llm.shared import running, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block, wished words of a shard.
@@ -18,21 +18,6 @@ BLOCK, SHARD_WORDS = 64, 1 << 20
 TRIED, PASSES = 32, 4
 
 
-def running(df: DataFrame, order: list, sums: dict) -> DataFrame:
-    """df with _rank (from 0) in ``order`` and, for each of ``sums``, its sum over the rows
-    before. Rows are sorted in ranges: a task holds a range, and one row a range is summed up."""
-    d = written(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "ranked").withColumn("_p", F.shiftrightunsigned("_id", 33))
-    inside = Window.partitionBy("_p").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    all_sums = {"_rank": F.lit(1), **sums}
-    per = d.groupBy("_p").agg(*[F.sum(e).alias(k) for k, e in all_sums.items()])
-    per = per.select("_p", *[F.coalesce(F.sum(k).over(ranges), F.lit(0)).alias(f"_before{k}") for k in all_sums])
-    for k, e in all_sums.items():
-        d = d.withColumn(k, F.coalesce(F.sum(e).over(inside), F.lit(0)))
-    d = d.join(F.broadcast(per), "_p")
-    return d.select(*df.columns, *[(F.col(k) + F.col(f"_before{k}")).alias(k) for k in all_sums])
-
-
 def source_targets(per_source: DataFrame, weights: list[int], share: float, ceiling: float) -> DataFrame:
     """source, source_size and target of each source.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import textops as T
 from tabulon.llm import tokens
-from tabulon.llm.shared import written
+from tabulon.llm.shared import vocabulary, written
 
 LENGTH, END = 4096, 2
 #: Pieces that one group is meant to rank, and the fewest and most groups of a length.
@@ -114,7 +114,7 @@ def slots(found: list[tuple[tuple[int, ...], int]], length: int = LENGTH) -> dic
     return {"begin": begin, "rank": rank, "base": np.array(base, np.int64)[order], "offset": np.array(offset, np.int64)[order]}
 
 
-def pack(docs: DataFrame, path: str = f"{tokens.VOCABULARIES}/word_bpe_49k.json", length: int = LENGTH, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of each piece.
 
     A document is cut after each ``length`` ids. The histogram of piece lengths, at most
@@ -124,7 +124,7 @@ def pack(docs: DataFrame, path: str = f"{tokens.VOCABULARIES}/word_bpe_49k.json"
     id only, repeated rows are packed each, an empty table gives none; columns other than
     doc_id and text aren't read.
     """
-    d = written(pieces(docs, path, length, end), "pieces")
+    d = written(pieces(docs, path or vocabulary("word_bpe_49k.json"), length, end), "pieces")
     histogram = {r["length"]: r["n"] for r in d.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = slots(patterns(histogram, length), length)
     salts = int(np.clip(sum(histogram.values()) // RANKED, LEAST, MOST))

@@ -13,14 +13,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import rangecoder as R
 from tabulon.llm import textops as T
 from tabulon.llm import tokens
 from tabulon.llm.blobs import Ranges, list_blobs, write_blobs
-from tabulon.llm.shared import new_dir, schema_with
+from tabulon.llm.shared import new_dir, running, schema_with, vocabulary
 
 MAGIC = b"TIDX0001"
 END = 0
@@ -44,9 +44,11 @@ class Writer:
 
     def add(self, doc_id: int | None, ids: np.ndarray):
         """Take a document's ids; yields a part when enough blocks are full."""
+        if len(ids) and int(ids.max()) > 0xFFFF:
+            raise ValueError("ids of 65536 and more have no place in this format")
         self.docs.append(-(2**63) if doc_id is None else doc_id)
         self.sizes.append(len(ids))
-        self.held.append(ids)
+        self.held.append(ids.astype(np.uint16))
         self.n += len(ids)
         if self.n >= R.BLOCK * R.LANES:
             yield self._code(False)
@@ -119,7 +121,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END, fi
     """Write the ids of all texts, each with ``end`` after them, in ascending doc_id.
 
     Null texts are empty; a null doc_id comes first and reads back as the least long;
-    rows with one doc_id are each written.
+    rows with one doc_id are each written. An id of 65536 or more raises ValueError.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = d.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
@@ -128,7 +130,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END, fi
     def run(batches):
         enc, out = tokens.encoder(tokens.ByteIds, vocabulary), Writer()
         blob = lambda x: pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], names=["blob"])
-        tail, begun = np.array([end], np.uint16), False
+        tail, begun = np.array([end], np.uint32), False
         for batch in batches:
             if batch.num_rows and not begun:
                 begun = True
@@ -138,7 +140,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END, fi
             for lo, hi in T.chunks(off, _CHUNK):
                 o = off[lo : hi + 1].tolist()
                 for d, ids in enumerate(enc.encode([raw[a:b] for a, b in zip(o[:-1], o[1:], strict=True)])):
-                    for part in out.add(keys[lo + d], np.r_[np.frombuffer(ids, "<u4").astype(np.uint16), tail]):
+                    for part in out.add(keys[lo + d], np.r_[np.frombuffer(ids, "<u4"), tail]):
                         yield blob(part)
         if begun:
             for part in out.end():
@@ -154,7 +156,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     """
     files = list_blobs(spark, path)
     n = max(1, files.count())
-    files = files.repartition(n, "path")
+    files = files.repartitionByRange(n, "part")
 
     def sums(batches):
         for batch in batches:
@@ -166,8 +168,7 @@ def read_tokens(spark, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=["path", "length", "part", "n"])
 
     sized = files.mapInArrow(sums, schema_with(files, ("n", "long")))
-    before = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    placed = sized.select("path", F.coalesce(before, F.lit(0)).alias("first")).repartition(n, "path")
+    placed = running(sized, ["part"], {"first": F.col("n")}).select("path", "first", "part").repartitionByRange(n, "part")
 
     def run(batches):
         for batch in batches:
@@ -190,10 +191,10 @@ def read_tokens(spark, path: str) -> DataFrame:
     return found.withColumn("doc_id", F.when(F.col("doc_id") > -(2**63), F.col("doc_id")))
 
 
-def round_trip(docs: DataFrame, vocabulary: str = f"{tokens.VOCABULARIES}/byte_bpe_50k.json") -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """Write docs as token-id files in the shared folder and read them back. An empty table
     gives no file and no rows; columns other than doc_id and text aren't read."""
     spark = docs.sparkSession
     path = new_dir(spark, "tokens")
-    write_tokens(docs, path, vocabulary)
+    write_tokens(docs, path, vocabulary_path or vocabulary("byte_bpe_50k.json"))
     return read_tokens(spark, path)

@@ -23,6 +23,8 @@ from tabulon.llm.blobs import Ranges, list_blobs, write_blobs
 
 #: Bytes after which an archive member ends, and of one ranged read.
 MEMBER_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
+#: Bytes of packages that a reading task is meant to have.
+TASK_BYTES = 16 << 20
 #: Payloads of so many bytes are stored once; others that equal one refer to it.
 REVISIT_BYTES = 1000
 DATE = "2020-01-01T00:00:00Z"
@@ -242,8 +244,9 @@ FIELDS = "record_type string, record_id string, url string, refers_to string, pa
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
     """The records of all packages under path; payload is null for a revisit, while
     payload_bytes and payload_digest are of the full payload."""
-    files = list_blobs(spark, path).select("path")
-    ranges = record_ranges(files.repartition(max(1, files.count()), "path"))
+    files = list_blobs(spark, path)
+    n, total = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).collect()[0]
+    ranges = record_ranges(files.repartitionByRange(max(1, n), "part"))
 
     def run(batches):
         schema = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("url", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
@@ -257,7 +260,8 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
                     at += n
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(run, FIELDS)
+    # a range's row is small, so the number of tasks comes from what the ranges hold
+    return ranges.repartition(max(1, -(-total // TASK_BYTES))).mapInArrow(run, FIELDS)
 
 
 def round_trip(pages: DataFrame, path: str) -> DataFrame:

@@ -8,10 +8,11 @@ from hypothesis import strategies as st
 
 from tabulon.llm import packing as P
 from tabulon.llm import tokens
+from tabulon.llm.shared import vocabulary
 
 
 def whole(kind, texts):
-    enc = kind()
+    enc = kind(vocabulary("word_bpe_49k.json" if kind is tokens.WordIds else "byte_bpe_50k.json"))
     return [np.array(enc.tok.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts]
 
 
@@ -70,7 +71,7 @@ _TEXT = st.text(st.sampled_from("abAB é́ß漢 .,;!?'\n\t0123-_<|endoftext> 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(_TEXT, min_size=1, max_size=5))
 def test_word_ids(texts):
-    enc = tokens.encoder(tokens.WordIds, f"{tokens.VOCABULARIES}/word_bpe_49k.json")
+    enc = tokens.encoder(tokens.WordIds, vocabulary("word_bpe_49k.json"))
     for t, ids in zip(texts, enc.encode([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == enc.tok.encode(t, add_special_tokens=False).ids
 
@@ -78,6 +79,6 @@ def test_word_ids(texts):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(_TEXT, min_size=1, max_size=5))
 def test_byte_ids(texts):
-    enc = tokens.encoder(tokens.ByteIds, f"{tokens.VOCABULARIES}/byte_bpe_50k.json")
+    enc = tokens.encoder(tokens.ByteIds, vocabulary("byte_bpe_50k.json"))
     for t, ids in zip(texts, enc.encode([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == enc.tok.encode(t, add_special_tokens=False).ids

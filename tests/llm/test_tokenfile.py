@@ -11,6 +11,7 @@ from tabulon.llm import rangecoder as R
 from tabulon.llm import tokenfile as F
 from tabulon.llm import tokens
 from tabulon.llm.blobs import Ranges
+from tabulon.llm.shared import vocabulary
 
 
 @settings(max_examples=40, deadline=None)
@@ -34,7 +35,7 @@ def test_full_blocks():
 
 
 def check(df):
-    enc = tokens.encoder(tokens.ByteIds, f"{tokens.VOCABULARIES}/byte_bpe_50k.json").tok
+    enc = tokens.encoder(tokens.ByteIds, vocabulary("byte_bpe_50k.json")).tok
     rows = sorted(((r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     want, at = [], 0
     for i, t in rows:
@@ -53,6 +54,11 @@ def test_edges(edges, nothing):
     assert F.round_trip(nothing).count() == 0
 
 
+def test_large_ids():
+    with pytest.raises(ValueError):
+        list(F.Writer().add(1, np.array([65536], np.uint32)))
+
+
 def test_damage(tmp_path):
     w = F.Writer()
     parts = [w.begin()]
