@@ -427,13 +427,6 @@ def role_select(spark, d) -> DataFrame:
     return linkbase.select_roles(roles, {"metal": ("bolt", "gear"), "round": ("ring",), "promo": ("widgetpromo",)})
 
 
-@query("dangling_facts", "SELECT l_orderkey, l_linenumber FROM lineitem SEMI JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey")
-def dangling_facts(spark, d) -> DataFrame:
-    """Lines of orders that are there."""
-    o = table(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, d, "lineitem").join(o, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber")
-
-
 @query("concept_filter", f"WITH {FACTS} SELECT entity, concept, year, value FROM v WHERE contains(lower(concept), 'd#1')")
 def concept_filter(spark, d) -> DataFrame:
     return facts.with_concept(views.facts(spark, d), "D#1")
@@ -480,12 +473,6 @@ def json_parallel_arrays(spark, d) -> DataFrame:
     return landing.from_recent(s.select("cik", F.lit("x").alias("company"), F.col("s.filings.recent").alias("recent"))).select("cik", "accession", "filing_date", "form")
 
 
-@query("json_map_rows", "SELECT event_id, 'k' AS key, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
-def json_map_rows(spark, d) -> DataFrame:
-    """An object with any keys as rows."""
-    return table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,bigint>")).alias("key", "value"))
-
-
 _CELLS = f"""{FACTS}, b AS (SELECT entity, concept, year, CASE WHEN year = 1996 THEN NULL ELSE round(CASE WHEN entity % 4 = 0 THEN value + 0.4 WHEN entity % 4 = 1 THEN value * 2 ELSE value END, 2) END AS expected FROM v),
     g AS (SELECT entity, concept, year, value AS got FROM v WHERE NOT (concept = 'Brand#3' AND year = 1996)),
     m AS (SELECT b.*, g.got, CASE WHEN expected IS NULL OR got IS NULL THEN expected IS NULL AND got IS NULL ELSE abs(expected - got) <= greatest(0.5, abs(expected) * 1e-6) END AS matched FROM b LEFT JOIN g USING (entity, concept, year))"""

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tabulon.plans import catalog, queries  # noqa: F401
+from tabulon.plans import catalog, filed, queries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
