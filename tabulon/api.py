@@ -23,21 +23,34 @@ class Filings:
     """Filings of a landing folder. ``store`` names a folder that keeps parsed documents."""
 
     def __init__(self, spark: SparkSession, root: str, store: str | None = None):
-        self.spark, self.files, self.store = spark, landing.files(spark, root), Store(spark, store)
+        self.spark, self.root, self.store = spark, root, Store(spark, store)
         self._made: dict[tuple, pipeline.Parsed] = {}
 
+    def files(self, *patterns: str) -> DataFrame:
+        """Landed files, all or those of some patterns."""
+        return landing.files(self.spark, self.root, *patterns)
+
     # which filings
 
     def submissions(self) -> DataFrame:
-        names = landing.tickers(self.files).groupBy("cik").agg(F.min("ticker").alias("ticker"))
-        return landing.submissions(self.files).join(names, "cik", "left")
+        """Filings of all companies whose submissions can be read."""
+        names = landing.tickers(self.files(landing.TICKERS)).groupBy("cik").agg(F.min("ticker").alias("ticker"))
+        return landing.submissions(self.files(landing.SUBMISSIONS)).join(names, "cik", "left")
+
+    def unsound(self) -> DataFrame:
+        """Companies whose submissions can't be read, and why."""
+        return landing.unsound(self.files(landing.SUBMISSIONS))
 
     def _chosen(self, ticker: str, form: str = "10-K", year: int | None = None, accession: str | None = None) -> DataFrame:
         asked = self.spark.createDataFrame([(ticker,)], "ticker string")
-        known, _ = filings.with_cik(asked, landing.tickers(self.files))
-        if known.isEmpty():
+        known, _ = filings.with_cik(asked, landing.tickers(self.files(landing.TICKERS)))
+        company = known.head()
+        if company is None:
             raise NotFound(f"unknown ticker {ticker!r}")
-        mine = landing.submissions(self.files).join(known, "cik", "inner")
+        landed = self.files(landing.submissions_of(company["cik"]))
+        if bad := landing.unsound(landed).head():
+            raise ValueError(f"submissions of {ticker} have {bad['reason']}")
+        mine = landing.submissions(landed).join(known, "cik", "inner")
         found = written(filings.select(mine, form, year, accession), "chosen")
         if found.isEmpty():
             raise NotFound(f"{ticker} has no filing {accession}" if accession else f"{ticker} has no {form}" + (f" filed in {year}" if year else ""))
@@ -51,17 +64,22 @@ class Filings:
         """The first bytes of a primary document, and its address."""
         f = self._chosen(ticker, form, year)
         url = f.select("accession", landing.archive_url(F.col("cik"), F.col("accession"), F.col("primary_document")).alias("url"))
-        return landing.head(landing.documents(self.files, f), n).join(url, "accession")
+        return landing.head(landing.documents(self._files_of(f), f), n).join(url, "accession")
+
+    def _files_of(self, one: DataFrame) -> DataFrame:
+        """The files of one filing."""
+        r = one.head()
+        return self.files(landing.files_of(r["cik"], r["accession"]))
 
     # documents
 
     def documents(self, chosen: DataFrame, statements: tuple[str, ...] = S.DEFAULT_STATEMENTS, section_tables: bool = False) -> DataFrame:
         """Documents of any set of filings (rows of ``submissions``)."""
-        return pipeline.documents(pipeline.Parsed(self.files, chosen), statements, section_tables)
+        return pipeline.documents(pipeline.Parsed(self.files(landing.ARCHIVES), chosen), statements, section_tables)
 
     def unreadable(self, chosen: DataFrame) -> DataFrame:
         """Of a set of filings those in formats that aren't read."""
-        return router.refused(pipeline.Parsed(self.files, chosen).classes)
+        return router.refused(pipeline.Parsed(self.files(landing.ARCHIVES), chosen).classes)
 
     def _one(self, ticker: str, form: str = "10-K", year: int | None = None, accession: str | None = None) -> DataFrame:
         p = self._parsed(ticker, form, year, accession)
@@ -89,7 +107,7 @@ class Filings:
         make = render.renderer(output)
         if make is render.to_json and not which.get("section"):
             chosen = self._chosen(ticker, **{k: v for k, v in which.items() if k != "section"})
-            kept = self.store.documents().join(chosen.select("accession"), "accession", "left_semi")
+            kept = self.store.documents(chosen)
             if not kept.isEmpty():
                 return kept.select("accession", F.col("document").alias("text"))
             made = make(self.get(ticker, **which))
@@ -112,7 +130,8 @@ class Filings:
 
     def _parsed(self, *which) -> pipeline.Parsed:
         if which not in self._made:
-            self._made[which] = pipeline.Parsed(self.files, self._chosen(*which))
+            chosen = self._chosen(*which)
+            self._made[which] = pipeline.Parsed(self._files_of(chosen), chosen)
         return self._made[which]
 
     def detect(self, ticker: str, form: str = "10-K", year: int | None = None) -> DataFrame:

@@ -39,10 +39,18 @@ class Store:
                 return self.spark.read.schema(schema).parquet(self.path(layer))
         return self.spark.createDataFrame([], schema)
 
-    def raw(self) -> DataFrame:
-        """url and content, the latest of each address."""
-        d = self._read("raw", RAW)
-        return d.groupBy("url").agg(F.max_by("content", "put_at").alias("content"))
+    @staticmethod
+    def _latest(d: DataFrame, key: str, wanted: DataFrame | None) -> DataFrame:
+        """The latest row of each key, of the wanted keys only. Which it is is found from keys and
+        numbers alone; contents are moved once, and only those asked for."""
+        if wanted is not None:
+            d = d.join(wanted.select(key).distinct(), key, "left_semi")
+        last = d.groupBy(key).agg(F.max("put_at").alias("put_at"))
+        return d.join(last, [key, "put_at"], "left_semi").dropDuplicates([key])
+
+    def raw(self, wanted: DataFrame | None = None) -> DataFrame:
+        """url and content, the latest of each address, or of the wanted ones."""
+        return self._latest(self._read("raw", RAW), "url", wanted).select("url", "content")
 
     def put_raw(self, rows: DataFrame) -> None:
         """Add (url, content) rows; they replace earlier ones of their addresses."""
@@ -54,20 +62,20 @@ class Store:
 
         ``fetch`` takes a DataFrame of urls and returns url and content.
         """
-        have = self.raw()
-        missing = wanted.select("url").distinct().join(have.select("url"), "url", "left_anti")
+        missing = wanted.select("url").distinct().join(self._read("raw", RAW).select("url"), "url", "left_anti")
         got = fetch(missing)
         if not self.root:
             return got
         self.put_raw(got)
-        return self.raw().join(wanted.select("url").distinct(), "url", "left_semi")
+        return self.raw(wanted)
 
-    def documents(self) -> DataFrame:
-        """accession and document (JSON) of these versions; what isn't JSON is missing."""
+    def documents(self, wanted: DataFrame | None = None) -> DataFrame:
+        """accession and document (JSON) of these versions, or those of wanted accessions; what
+        isn't JSON is missing."""
         d = self._read("parsed", PARSED)
         for c, v in self.versions.items():
             d = d.filter(F.col(c) == v)
-        d = d.groupBy("accession").agg(F.max_by("document", "put_at").alias("document"))
+        d = self._latest(d, "accession", wanted).select("accession", "document")
         return d.filter(F.try_parse_json("document").isNotNull())
 
     def put_documents(self, rows: DataFrame) -> None:
@@ -76,6 +84,21 @@ class Store:
             d = rows.select("accession", "document", F.lit(time.time_ns()).alias("put_at"), *[F.lit(v).alias(c) for c, v in self.versions.items()])
             d.write.mode("append").partitionBy(*self.versions).parquet(self.path("parsed"))
 
+    def migrate(self) -> None:
+        """Delete parsed documents of other versions: no reader of these versions sees them, and
+        raw files stay, so all can be parsed again."""
+        if not self.root:
+            return
+        p, fs = self._fs(self.path("parsed"))
+        keep = [f"{c}={v}" for c, v in self.versions.items()]
+        for depth in range(1, len(keep) + 1):
+            own = "/".join(keep[:depth])
+            inside = self._fs(f"{self.path('parsed')}/{'/'.join(keep[: depth - 1])}".rstrip("/"))[0]
+            if fs.exists(inside):
+                for s in fs.listStatus(inside):
+                    if s.isDirectory() and not s.getPath().toString().endswith("/" + own):
+                        fs.delete(s.getPath(), True)
+
     def clear(self) -> None:
         """Delete both layers."""
         if self.root:

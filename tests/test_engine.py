@@ -50,7 +50,7 @@ def test_boundaries(zorb, spark):
     from tabulon.operators import project
     from tabulon.plans import pipeline
 
-    p = pipeline.Parsed(zorb.files, zorb._chosen("ZORB"))
+    p = pipeline.Parsed(zorb.files(), zorb._chosen("ZORB"))
     rows = p.roles.filter("role_seq = 3").withColumn("statement", F.lit("cash"))
     t = project.tables(rows, p.facts, p.contexts).collect()[0]["table"]
     assert [(c["label"], c["context_ref"]) for c in t["columns"]] == [("2023", "e1"), ("2023", "y1"), ("2022", "e0"), ("2022", "y0"), ("2021", "e00")]
@@ -178,3 +178,48 @@ def test_command_line(spark, landed, capsys):
     assert cli.lines(a, spark) == ["PlainText"]
     with pytest.raises(NotFound):
         cli.lines(cli.parser().parse_args(["--root", landed, "text", "NONE", "--section", "1"]), spark)
+
+
+def test_reads_only_its_files(spark, tmp_path):
+    """One filing is read though other companies' and filings' files couldn't be."""
+    Z.write(tmp_path)
+    big = b"x" * 50_000
+    other = tmp_path / "archives" / "77" / "000000007724000001"
+    other.mkdir(parents=True)
+    (other / "z.htm").write_bytes(big)
+    (tmp_path / "archives" / str(Z.CIK) / Z.OLD.replace("-", "") / "more.bin").write_bytes(big)
+    (tmp_path / "submissions" / "CIK0000000077.json").write_bytes(big)
+    key = "spark.sql.sources.binaryFile.maxLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 20_000)
+    try:
+        assert api.Filings(spark, str(tmp_path)).get("ZORB").count() == 1
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_unsound_submissions_fail_alone(spark, tmp_path):
+    Z.write(tmp_path)
+    uneven = {"accessionNumber": ["a", "b"], "filingDate": ["2024-01-01"], "reportDate": [], "form": ["10-K"], "primaryDocument": ["x"]}
+    undated = {"accessionNumber": ["a"], "filingDate": ["soon"], "reportDate": [""], "form": ["10-K"], "primaryDocument": ["x"]}
+    for cik, recent in ((5, uneven), (6, undated)):
+        (tmp_path / "submissions" / f"CIK{cik:010d}.json").write_text(json.dumps({"cik": str(cik), "name": "x", "filings": {"recent": recent}}))
+    f = api.Filings(spark, str(tmp_path))
+    assert {r["cik"] for r in f.submissions().collect()} == {Z.CIK}
+    assert {r["cik"]: r["reason"] for r in f.unsound().collect()} == {5: "arrays of differing lengths", 6: "dates that can't be read"}
+    with pytest.raises(ValueError):
+        f.get("none")
+
+
+def test_migrate(spark, tmp_path):
+    from tabulon.sources.store import Store
+
+    rows = spark.createDataFrame([("a", "{}")], "accession string, document string")
+    old, new = Store(spark, str(tmp_path), schema_version="0"), Store(spark, str(tmp_path))
+    other = Store(spark, str(tmp_path), parser_version="9")
+    for s in (old, new, other):
+        s.put_documents(rows)
+    new.put_raw(spark.createDataFrame([("u", bytearray(b"x"))], "url string, content binary"))
+    new.migrate()
+    assert (old.documents().count(), other.documents().count(), new.documents().count(), new.raw().count()) == (0, 0, 1, 1)
+    Store(spark, None).migrate()
