@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import textops as T
-from tabulon.llm.shared import crc32_of_id, written
+from tabulon.llm.shared import crc32_of_id, release, written
 
 DEPTH = 5
-#: Least share of all positions that a tested context has, so that at most DEPTH / TESTED are.
-TESTED = 1e-6
+#: A tested context has at least so many times the root of the number of positions (and LEAST):
+#: more contexts are tested the more text there is, and executors hold fewer than there are words.
+TESTED, LEAST = 0.01, 4
 #: Log-likelihood gain for each kind of next byte that a context must bring to stay, in nats.
 GAIN = 1.0
 #: Least share of all tokens of a word that is sent to all executors.
@@ -176,11 +177,11 @@ def log_probabilities(tree: dict, g: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, tested: float = TESTED, gain: float = GAIN, frequent: float = FREQUENT) -> dict:
+def train(docs: DataFrame, tested: float = TESTED, least: int = LEAST, gain: float = GAIN, frequent: float = FREQUENT) -> dict:
     """Counts of all texts of docs, the tree, and the frequent words.
 
-    The tree's n-grams and the frequent words are bounded by their least shares; the counts of
-    all words stay in a table.
+    The tree grows with the root of the text; the frequent words are bounded by their least
+    share; the counts of all words stay in a table.
     """
     counts = written(count(docs), "counts")
     n_docs = docs.count()
@@ -189,14 +190,19 @@ def train(docs: DataFrame, tested: float = TESTED, gain: float = GAIN, frequent:
     tokens, distinct = n + n_docs, v + (1 if n_docs else 0)
     grams = counts.filter("kind = 1").select("key", "n")
     places = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
-    levels = []
-    for k in range(DEPTH + 1):
-        g = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("g")).agg(F.sum("n").alias("n"))
+    most = max(least, tested * float(places) ** 0.5)
+    levels, made = [], []
+    for k in range(DEPTH, -1, -1):  # an order's counts come from the longer one's
+        if k < DEPTH:
+            grams = written(grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n")), "order")
+            made.append(grams)
+        g = grams
         if k:
-            total = grams.groupBy(F.shiftright(F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)), 8).alias("c")).agg(F.sum("n").alias("t")).filter(F.col("t") >= tested * places).drop("t")
-            g = g.join(total, F.shiftright("g", 8) == F.col("c"), "left_semi")
-        t = g.select("g", "n").toArrow()
-        levels.append((t["g"].to_numpy().astype(T.U64), t["n"].to_numpy()))
+            total = grams.groupBy(F.shiftright("key", 8).alias("c")).agg(F.sum("n").alias("t")).filter(F.col("t") >= most).drop("t")
+            g = grams.join(total, F.shiftright("key", 8) == F.col("c"), "left_semi")
+        t = g.select("key", "n").toArrow()
+        levels.insert(0, (t["key"].to_numpy().astype(T.U64), t["n"].to_numpy()))
+    release(*made)
     often = words.filter(F.col("n") >= max(1.0, frequent * tokens)).select("key", "n").toArrow()
     keys, times = often["key"].to_numpy().astype(T.U64), often["n"].to_numpy()
     order = np.argsort(keys)
