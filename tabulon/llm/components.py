@@ -27,7 +27,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component of every node that an edge (a, b) has; component is its least node.
 
-    Each round ends in a written table. Self-links don't count; nulls must not occur.
+    Each round ends in a written table. Self-links don't count; nulls must not occur. Edges
+    that are stars of their least nodes already are done after one round.
     """
     edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     seen = None

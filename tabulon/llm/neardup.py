@@ -28,6 +28,10 @@ SLACK = 4.5
 #: Bands whose buckets are looked at in each turn. A large group is linked by its first bands, so
 #: few of its members still differ in label when the others come.
 TURNS = (1, 4, BANDS)
+#: Numbers of 64 bits in which a set's parities are kept.
+PARITIES = 32
+#: Holders of a rare shingle that one block of them has.
+HOLDERS = 256
 
 _rng = np.random.Generator(np.random.PCG64(8128))
 _MUL = _rng.integers(1, 2**31, REGISTERS, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -164,18 +168,29 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key", "left_semi")
 
 
+def parities(x: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * PARITIES classes of hashes: whether a set has an odd number there.
+    Two sets' bits differ where an odd number of what only one has falls, so the sets differ in
+    as many elements at least, whatever else they share."""
+    odd = np.bincount((x % T.U64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def set_rows(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """doc and s (the shingle set) of each text of the members."""
+    """doc, s (the shingle set), own (its hash), n (its size) and odd (its parities) of each text
+    of the members."""
 
     def run(batches):
         for batch in batches:
             buf_all, off_all = T.texts(batch.column(1))
             for lo, hi in T.chunks(off_all):
                 sets = T.shingle_sets(buf_all[off_all[lo] : off_all[hi]], off_all[lo : hi + 1] - off_all[lo], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc", "s"])
+                with np.errstate(over="ignore"):
+                    own = np.array([T.fmix(x + T.U64(0x123456789ABCDEF1)).sum(dtype=T.U64) for x in sets], T.U64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(own), pa.array([len(x) for x in sets], pa.int32()), pa.array([parities(x) for x in sets], pa.list_(pa.int64()))], names=["doc", "s", "own", "n", "odd"])
 
     some = texts.select(F.col("doc_id").alias("doc"), "text").join(members.select("doc").distinct(), "doc", "left_semi")
-    return written(some.mapInArrow(run, schema_with(some.select("doc"), ("s", "array<long>"))).dropDuplicates(["doc", "s"]), "sets", 1000)
+    return written(some.mapInArrow(run, schema_with(some.select("doc"), ("s", "array<long>"), ("own", "long"), ("n", "int"), ("odd", "array<long>"))).dropDuplicates(["doc", "own", "n"]), "sets", 1000)
 
 
 def low_bits(reps: DataFrame) -> DataFrame:
@@ -207,27 +222,42 @@ def rare_pairs(members: DataFrame, reps: DataFrame, texts: DataFrame, width: int
 
     With the shingles of all members in one order, the rarest first, two sets that reach it
     share one of their first n - ceil(n * percent / 100) + 1 each; after the first that they
-    share, both have enough left. Their sizes are near, and of their registers' low bits no
-    more differ than SLACK allows. All that is tested within the join, so a large group gives
-    pairs for what its members share beside what all have.
+    share, both have enough left. Their sizes are near, their parities differ in no more places
+    than their sets may in elements, and of their registers' low bits no more differ than SLACK
+    allows. All that is tested within the join, so a large group gives
+    pairs for what its members share beside what all have. Of a shingle's holders only those
+    without its commonest label are compared with all, in blocks of HOLDERS.
     """
     sets = set_rows(members, texts, width)
-    one = sets.select("doc", F.xxhash64("s").alias("own"), F.size("s").alias("n"), F.explode("s").alias("x"))
+    one = sets.select("doc", "own", "n", F.explode("s").alias("x"))
     df = one.groupBy("x").agg(F.count("*").alias("df"))
     nth = F.row_number().over(Window.partitionBy("doc", "own").orderBy("df", "x"))
     first = one.join(df, "x").withColumn("nth", nth).filter((F.col("df") > 1) & (F.col("nth") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1))
-    first = written(first.select("doc", "n", F.col("x").alias("key"), "nth").join(members.select("doc", "label").distinct(), "doc").join(low_bits(reps.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")), "doc"), "rare")
+    odd = sets.select("doc", "own", "odd")
+    first = written(first.select("doc", "own", "n", F.col("x").alias("key"), "nth").join(odd, ["doc", "own"]).drop("own").join(members.select("doc", "label").distinct(), "doc").join(low_bits(reps.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")), "doc"), "rare")
     release(sets)
-    some = _mixed(first)
-    side = lambda c: some.select("key", *[F.col(f).alias(f"{f}_{c}") for f in ("doc", "label", "n", "nth", "bits")])
+    # a key's commonest label needs no comparison within itself: the others meet all, block by block
+    by_label = first.groupBy("key", "label").agg(F.count("*").alias("c"))
+    keys = by_label.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("c"), F.count("*").alias("labels")).filter("labels > 1")
+    some = first.join(keys.select("key", "major", F.ceil(F.col("c") / HOLDERS).cast("int").alias("blocks")), "key")
+    fields = ("doc", "label", "n", "nth", "bits", "odd", "minor")
+    side = lambda d, c: d.select("key", "block", *[F.col(f).alias(f"{f}_{c}") for f in fields])
+    some = some.withColumn("minor", F.col("label") != F.col("major"))
+    asking = side(some.filter("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a")
+    held = side(some.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")), "b")
     share = percent / 100
     off = (1 - share) * 15 / 16
     most = float(REGISTERS * off + SLACK * np.sqrt(REGISTERS * off * (1 - off)))
     na, nb = F.col("n_a"), F.col("n_b")
     near = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
     left = (100 + percent) * (1 + F.least(na - F.col("nth_a"), nb - F.col("nth_b"))) >= percent * (na + nb)
-    both = side("a").join(side("b"), "key").filter((F.col("doc_a") < F.col("doc_b")) & (F.col("label_a") != F.col("label_b")) & near & left & (_differing(F.col("bits_a"), F.col("bits_b")) <= most))
-    return both.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+    apart = F.lit(0)
+    for i in range(PARITIES):
+        apart = apart + F.bit_count(F.get("odd_a", F.lit(i)).bitwiseXOR(F.get("odd_b", F.lit(i))))
+    alike = 100 * (na + nb - apart) >= percent * (na + nb + apart)
+    once = ~F.col("minor_b") | (F.col("doc_a") < F.col("doc_b"))
+    both = asking.join(held, ["key", "block"]).filter(once & (F.col("label_a") != F.col("label_b")) & near & left & alike & (_differing(F.col("bits_a"), F.col("bits_b")) <= most))
+    return both.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
 
 
 def linked(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
@@ -245,27 +275,32 @@ def linked(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
     rows = written(exploded.join(shared, "key", "left_semi"), "bands")
     # by shuffle at any size, once: who shares a bucket grows with the corpus
     texts = written(docs.join(rows.select(F.col("doc").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
-    edges, labels = None, None
+    labels = None
 
     def take(pairs: DataFrame) -> None:
-        nonlocal edges, labels
+        nonlocal labels
         near = written(likely(pairs, reps, percent / 100), "likely")
         found = verified(near, texts, width, percent)
         release(near)
         if not found.isEmpty():
-            edges = found if edges is None else edges.union(found)
-            labels = written(components(edges), "labels")
+            # what is linked already comes as stars of its least members
+            known = found if labels is None else found.union(labels.select("component", "node"))
+            before, labels = labels, written(components(known), "labels")
+            release(before)
+        release(found)
 
     for turn, bands in enumerate(TURNS):
         some = rows if bands == BANDS else rows.filter(F.col("band") < bands)
-        now = some.withColumn("label", F.col("doc")) if labels is None else written(_mixed(_labelled(some, labels)), "mixed")
+        now = written(_mixed(_labelled(some, labels)), "mixed") if turn else some.withColumn("label", F.col("doc"))
         order = F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "label")
         pivots = now.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.doc").alias("p"), F.col("p.label").alias("pl"))
         pairs = now.join(pivots, "key").filter("label <> pl").select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).distinct()
         take(pairs)
+        release(now if turn else None)
     mixed = written(_mixed(_labelled(rows, labels)).select("doc", "label").distinct(), "mixed")
     if not mixed.isEmpty():
         take(rare_pairs(mixed, reps, texts, width, percent))
+    release(rows, texts, mixed)
     return labels
 
 

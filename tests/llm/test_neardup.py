@@ -42,6 +42,17 @@ def got(df, width):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(df, width).collect()}
 
 
+def test_parities():
+    """Parities differ in no more places than two sets do in elements, and nearly as many."""
+    rng = np.random.default_rng(4)
+    for n, cut in ((380, 60), (50, 3), (2000, 300), (7, 7)):
+        x = rng.integers(1, 2**63, n, dtype=np.int64).astype(np.uint64)
+        a, b = x[cut:], x[: n - cut // 2]
+        apart = int(np.bitwise_count((N.parities(a) ^ N.parities(b)).view(np.uint64)).sum())
+        truly = len(set(a.tolist()) ^ set(b.tolist()))
+        assert 0.6 * truly <= apart <= truly
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_small_table(small, width):
     rows = [(r["doc_id"], r["text"]) for r in small.select("doc_id", "text").collect()]
