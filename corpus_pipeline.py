@@ -15,6 +15,8 @@ from tabulon.llm.shared import written
 
 #: Least share of the likelihoods that the predicted language must have.
 LEAST_SCORE = 0.5
+#: Words of a shingle in the near-duplicate stage, as in op1_near_duplicates.
+WIDTH = 2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of smallest id."""
-    gone = neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    gone = neardup.near_duplicates(docs, width=WIDTH).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
