@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import textops as T
-from tabulon.llm.shared import release, schema_with, vocabulary, worker_cache, written
+from tabulon.llm.shared import if_small, release, schema_with, vocabulary, worker_cache, written
 
 #: Labelled documents a language is fitted on, about: those whose seeded hash is below its share.
 FIT_DOCS = 400
@@ -296,9 +296,9 @@ def train(labelled: DataFrame, path: str | None = None, fit_docs: int = FIT_DOCS
     """
     path = path or vocabulary("piece_bpe_32k.model")
     rows = labelled.select("doc_id", "text", "lang").dropna()
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("_n")), "languages")
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language")), 11) / float(1 << 53)
-    sample = rows.join(sizes, "lang").filter(u * F.col("_n") < fit_docs)
+    sample = rows.join(if_small(sizes), "lang").filter(u * F.col("_n") < fit_docs)
     sample = written(sample.groupBy("lang", "doc_id").agg(F.min("text").alias("text")), "sample")
 
     def of_lang(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -308,7 +308,7 @@ def train(labelled: DataFrame, path: str | None = None, fit_docs: int = FIT_DOCS
         return pd.DataFrame([(pdf["lang"].iloc[0], p.tobytes())], columns=["lang", "p"])
 
     model = written(word_counts(sample).groupBy("lang").applyInPandas(of_lang, "lang string, p binary"), "language-model")
-    release(sample)
+    release(sample, sizes)
     return model
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.shared import running, written
+from tabulon.llm.shared import if_small, running, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block, wished words of a shard.
@@ -104,7 +104,7 @@ def mix(
     blocks = int((t.agg(F.coalesce(F.sum("target"), F.lit(0.0))).collect()[0][0] / block) + 0.5)
     sources = apportion(t.select(F.lit(0).alias("_group"), F.col("_s").alias("_item"), F.col("target").alias("_weight"), F.lit(blocks).alias("_seats")))
     sources = written(sources.select(F.col("_item").alias("_s"), F.col("_q").alias("_seats")), "quotas")
-    d = named(d).join(t, "_s").withColumn("_shard", F.pmod(F.conv(F.substring("_key", 1, 15), 16, 10).cast("long"), F.col("_n")))
+    d = named(d).join(if_small(t), "_s").withColumn("_shard", F.pmod(F.conv(F.substring("_key", 1, 15), 16, 10).cast("long"), F.col("_n")))
 
     shards = written(d.groupBy("_s", "_shard").agg(F.sum("size").alias("_words")), "shards")
     items = written(shards.join(sources, "_s").select(F.col("_s").alias("_group"), F.col("_shard").alias("_item"), F.col("_words").cast("double").alias("_weight"), "_seats"), "items")

@@ -71,6 +71,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def if_small(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table with few columns, to be sent to all executors if it has few rows; else
+    joined by shuffle. So what it is joined to isn't dealt by a key that most rows may have."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def running(df: DataFrame, order: list, sums: dict) -> DataFrame:
     """df with _rank (from 0) in ``order`` and, for each of ``sums``, its sum over the rows
     before. Rows are sorted in ranges: a task holds a range, and one row a range is summed up."""
