@@ -51,15 +51,17 @@ def apportion(items: DataFrame, seats: str = "_seats") -> DataFrame:
     n, total = F.col("_n") / 2, F.col("_total")
     d = some.groupBy("_group").agg(F.count("*").alias("_n"), F.sum("_weight").alias("_total"), F.max("_weight").alias("_top"), F.max(seats).alias("_k"))
     above = F.when(F.col("_k") > n, F.least(total / (F.col("_k") - n), 2.001 * F.col("_top"))).otherwise(2.001 * F.col("_top"))
-    divisors = written(d.select("_group", "_k", (total / (F.col("_k") + n) * 0.999).alias("_lo"), (above * 1.001).alias("_hi")), "divisors")
+    divisors = d.select("_group", "_k", (total / (F.col("_k") + n) * 0.999).alias("_lo"), (above * 1.001).alias("_hi"))
     of = lambda divisor: F.floor(w / divisor + 0.5)
+    # as texts, since a pass has hundreds of expressions
+    step = {j: f"_lo * pow(_hi / _lo, {j / TRIED}D)" for j in range(1, TRIED)}
+    sums = [F.expr(f"sum(floor(_weight / ({x}) + 0.5D)) AS s{j}") for j, x in step.items()]
+    lo = ", ".join(f"CASE WHEN s{j} >= _k THEN {x} END" for j, x in step.items())
+    hi = ", ".join(f"CASE WHEN s{j} <= _k THEN {x} END" for j, x in step.items())
     for _ in range(PASSES):
-        step = lambda j: F.col("_lo") * F.pow(F.col("_hi") / F.col("_lo"), F.lit(j / TRIED))
-        tried = some.join(divisors, "_group").groupBy("_group", "_k", "_lo", "_hi").agg(*[F.sum(of(step(j))).alias(f"s{j}") for j in range(1, TRIED)])
-        lo = F.greatest("_lo", *[F.when(F.col(f"s{j}") >= F.col("_k"), step(j)) for j in range(1, TRIED)])
-        hi = F.least("_hi", *[F.when(F.col(f"s{j}") <= F.col("_k"), step(j)) for j in range(1, TRIED)])
-        divisors = written(tried.select("_group", "_k", lo.alias("_lo"), hi.alias("_hi")), "divisors")
-    d = some.join(divisors, "_group").select("_group", "_item", "_weight", "_k", of(F.col("_hi")).alias("_base"), F.greatest(of(F.col("_hi")), of(F.col("_lo"))).alias("_most"))
+        tried = some.join(divisors, "_group").groupBy("_group", "_k", "_lo", "_hi").agg(*sums)
+        divisors = tried.selectExpr("_group", "_k", f"greatest(_lo, {lo}) AS _lo", f"least(_hi, {hi}) AS _hi")
+    d = some.join(written(divisors, "divisors"), "_group").select("_group", "_item", "_weight", "_k", of(F.col("_hi")).alias("_base"), F.greatest(of(F.col("_hi")), of(F.col("_lo"))).alias("_most"))
     need = d.groupBy("_group").agg((F.max("_k") - F.sum("_base")).alias("_need"))
     close = d.filter("_most > _base").withColumn("_kth", F.explode(F.sequence("_base", F.col("_most") - 1)))
     by_quotient = Window.partitionBy("_group").orderBy((w / (2 * F.col("_kth") + 1)).desc(), "_item", "_kth")
