@@ -64,6 +64,7 @@ def calibration(scores: DataFrame, level: str = "got_confidence") -> DataFrame:
 
 def report(scores: DataFrame) -> DataFrame:
     """seq and line of the printed report: a line a filing, all of them, then each level."""
+    # The report's headers and formats, as it is printed
     pct = lambda a, b: 100 * ratio(F.col(a), F.col(b))
     rule = "-" * 76
     w = Window.orderBy("name")  # a line a filing of a corpus of expected results

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,6 @@ from tabulon import schemas as S
 from tabulon.functions import scalars as X
 from tabulon.sources.scratch import written
 
-#: Levels below a root that the tree walk goes down at most, unless told otherwise.
-LEVELS = 64
 ROLE_TYPES = "array<struct<_roleURI: string, definition: string>>"
 
 
@@ -58,16 +58,19 @@ def label_of(texts: Column, preferred: Column, concept: Column) -> Column:
     return F.coalesce(F.when(preferred != "", told(preferred)), *(told(F.lit(r)) for r in (S.LABEL, S.TERSE, S.VERBOSE)), first, X.humanize(concept))
 
 
-def walk_tree(edges: DataFrame, roots: DataFrame, keys: list[str], levels: int = LEVELS) -> DataFrame:
+def walk_tree(edges: DataFrame, roots: DataFrame, keys: list[str], levels: int | None = None) -> DataFrame:
     """keys, node, depth and path of every node that roots reach, each on its first visit.
 
     edges(keys, parent, child, rank), roots(keys, node, rank); path is the ranks from the root on,
     so sorting by it is depth-first order. A level is a join; only nodes that grew a level are
-    joined again, and a node on its own path isn't followed. Trees deeper than ``levels`` raise.
+    joined again, and a node on its own path isn't followed, so it ends. Trees deeper than ``levels`` raise, if
+    it is given.
     """
     front = roots.select(*keys, "node", F.lit(0).alias("depth"), F.array("rank").alias("path"), F.array("node").alias("line"))
     found = [front]
-    for depth in range(1, levels + 1):
+    for depth in count(1):
+        if levels is not None and depth > levels:
+            raise ValueError(f"a tree has more than {levels} levels")
         e = edges.withColumnRenamed("parent", "node")
         front = front.join(e, [*keys, "node"]).filter(~F.array_contains("line", F.col("child")))
         front = front.select(*keys, F.col("child").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("rank")).alias("path"), F.concat("line", F.array("child")).alias("line"))
@@ -75,8 +78,6 @@ def walk_tree(edges: DataFrame, roots: DataFrame, keys: list[str], levels: int =
         if front.isEmpty():
             break
         found.append(front)
-    else:
-        raise ValueError(f"a tree has more than {levels} levels")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
