@@ -8,8 +8,9 @@ number without the lowest symbol, and what it ends in that number without the hi
 Spark counts the n-grams of every distinct text, and from each order the kinds of symbols
 before the n-grams of the order below. The texts of a language are in two folds by their hash,
 and each fold is scored by the model of the other: no text, and no copy of it, speaks for
-itself. A model is arrays sorted by hash, in a folder of its own, and who scores its texts
-reads them there.
+itself. A model has every n-gram of its texts, as arrays sorted by hash. They are in parts by
+context, as many as it takes, in a folder of its own; who scores its texts reads the parts there
+and holds as many as fit.
 """
 
 from __future__ import annotations
@@ -32,9 +33,8 @@ from tabulon.llm.shared import if_small, new_dir, release, schema_with, worker_c
 ORDER, BITS, FOLDS = 5, 12, 2
 START = 1
 _SYM = (1 << BITS) - 1
-#: Least share of its fold's positions of an n-gram that the arrays keep, so an order of a
-#: model has at most 1 / SHARE of them. All n-grams count towards the others' kinds and totals.
-SHARE = 1e-6
+#: N-grams of all orders that a part of a model is meant to hold, and what contexts are dealt by.
+PART, PRIME = 1_000_000, 1_000_003
 #: A language has a band if so many of its distinct texts have 50 words or more.
 SOUND_TEXTS = 8
 #: How many times the distance from the median to the first and to the third quartile of its
@@ -43,8 +43,8 @@ BELOW, ABOVE = 12.0, 12.0
 #: Least distance to a quartile that a band is made of, in nats a symbol: where near copies are
 #: most of a language, its quartiles say nothing of the rest.
 SPREAD = 0.05
-#: Bytes of models that a worker holds, and n-grams that a counting task holds.
-HELD_BYTES, HELD = 300 << 20, 1_500_000
+#: Bytes of models that a worker holds beside the part in use, and n-grams that a counting task holds.
+HELD_BYTES, HELD = 160 << 20, 1_500_000
 _CHUNK = 2 << 20
 
 _SYMBOL = np.zeros(256, bool)
@@ -235,69 +235,114 @@ def folder_name(model: str) -> str:
     return hashlib.md5(model.encode()).hexdigest()
 
 
-def fit(counts: DataFrame, share: float = SHARE) -> str:
+def home(grams: np.ndarray, parts: int) -> np.ndarray:
+    """The part that n-grams and their contexts are in."""
+    return (grams >> BITS) % PRIME % parts
+
+
+def fit(counts: DataFrame, share: float = 0.0, part: int = PART) -> str:
     """Write each model's arrays to a folder of its own, and give the folder of all. An order's
     arrays are the sorted hashes of its n-grams, beside them their discounted shares of their
     contexts, and the sorted hashes of its contexts, beside them what each leaves to the order
-    below: 1 less the shares of the n-grams kept."""
+    below: 1 less the shares of the n-grams kept. A context and all its n-grams, at most
+    2**BITS, are in one of as many parts as make ``part`` n-grams each.
+
+    All n-grams are kept, unless ``share`` asks for those only that have such a share of their
+    model's places; the others still count towards kinds and totals."""
     spark = counts.sparkSession
     levels = [written(counts.withColumn("c", F.col("raw")), "ngrams")]
     for k in range(ORDER - 1, 0, -1):
         low = F.col("g").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
         levels.append(written(levels[-1].groupBy("model", low.alias("g")).agg(F.sum("raw").alias("raw"), F.count("*").alias("c")), "ngrams"))
-    places = levels[0].groupBy("model").agg(F.sum("raw").alias("places"))
     rows = None
     for k, d in zip(range(ORDER, 0, -1), levels, strict=True):
-        small = d.groupBy("model").agg(*[F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
-        d = d.withColumn("ctx", F.shiftrightunsigned("g", BITS))
-        total = F.sum("c").over(Window.partitionBy("model", "ctx"))  # at most 2**BITS rows
-        d = d.withColumn("total", total).join(places, "model").filter(F.col("raw") >= share * F.col("places")).join(small, "model")
-        d = d.select("model", F.lit(k).alias("order"), "g", "c", "total", "n1", "n2", "n3", "n4")
+        d = d.withColumn("order", F.lit(k))
         rows = d if rows is None else rows.unionByName(d)
-
-    def of_model(pdf: pd.DataFrame) -> pd.DataFrame:
+    kinds = [F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
+    sizes = rows.groupBy("model", "order").agg(*kinds, F.count("*").alias("_n"), F.sum("raw").alias("places"))
+    of_all = Window.partitionBy("model")  # a row an order
+    sizes = written(sizes.withColumn("parts", F.ceil(F.sum("_n").over(of_all) / part).cast("long")).drop("_n"), "sizes")
+    d = rows.join(if_small(sizes), ["model", "order"]).withColumn("part", F.shiftrightunsigned("g", BITS) % PRIME % F.col("parts"))
+    d = d.withColumn("kept", F.col("raw") >= share * F.col("places")).select("model", "part", "parts", "order", "g", "c", "kept", "n1", "n2", "n3", "n4")
+
+    def of_part(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for k in range(1, ORDER + 1):
-            part = pdf[pdf["order"] == k]
-            g, c, total = part["g"].to_numpy(np.int64), part["c"].to_numpy(np.int64), part["total"].to_numpy(np.float64)
-            p = _after(c, discounts(*part[["n1", "n2", "n3", "n4"]].iloc[0])) / total if len(part) else total
+            own = pdf[pdf["order"] == k]
+            g, c, kept = own["g"].to_numpy(np.int64), own["c"].to_numpy(np.int64), own["kept"].to_numpy(bool)
             ctx, back = np.unique(g >> BITS, return_inverse=True)
-            h, hc = _hash(k, g), _hash(k + ORDER, ctx)
+            total = np.bincount(back, c, len(ctx))[back]
+            p = _after(c, discounts(*own[["n1", "n2", "n3", "n4"]].iloc[0])) / total if len(own) else total
+            left = 1 - np.bincount(back[kept], p[kept], len(ctx))
+            h, hc = _hash(k, g[kept]), _hash(k + ORDER, ctx)
             i, j = np.argsort(h), np.argsort(hc)
-            out.append([x.tobytes() for x in (h[i], p[i], hc[j], (1 - np.bincount(back, p, len(ctx)))[j])])
-        name = folder_name(pdf["model"].iloc[0])
-        return pd.DataFrame({"_m": [name] * ORDER, "order": range(1, ORDER + 1), **{n: [x[i] for x in out] for i, n in enumerate(PARTS)}})
+            out.append([x.tobytes() for x in (h[i], p[kept][i], hc[j], left[j])])
+        name, at, of = folder_name(pdf["model"].iloc[0]), pdf["part"].iloc[0], pdf["parts"].iloc[0]
+        return pd.DataFrame({"_m": [name] * ORDER, "_p": [f"{at}-{of}"] * ORDER, "order": range(1, ORDER + 1), **{n: [x[i] for x in out] for i, n in enumerate(PARTS)}})
 
     path = new_dir(spark, "quality-model")
-    schema = "_m string, order int, " + ", ".join(f"{n} binary" for n in PARTS)
-    rows.groupBy("model").applyInPandas(of_model, schema).write.partitionBy("_m").parquet(path)
+    schema = "_m string, _p string, order int, " + ", ".join(f"{n} binary" for n in PARTS)
+    d.groupBy("model", "part").applyInPandas(of_part, schema).write.partitionBy("_m", "_p").parquet(path)
     release(*levels)
     return path
 
 
+class Held:
+    """The parts used last, of at most ``most`` bytes beside the one in use."""
+
+    def __init__(self, most: int = HELD_BYTES):
+        self.most, self.size, self.parts = most, 0, {}
+
+    def get(self, address: str, load) -> list[tuple]:
+        if address in self.parts:
+            self.parts[address] = self.parts.pop(address)
+        else:
+            self.parts[address] = load()
+            self.size += self._bytes(address)
+            while self.size - self._bytes(address) > self.most:
+                self.size -= self._bytes(oldest := next(iter(self.parts)))
+                del self.parts[oldest]
+        return self.parts[address]
+
+    def _bytes(self, address: str) -> int:
+        return sum(x.nbytes for o in self.parts[address] for x in o)
+
+
 class Model:
-    """A model's arrays."""
+    """A model's arrays, read part by part."""
 
-    def __init__(self, orders: list[tuple]):
-        self.orders = orders
-        self.size = sum(x.nbytes for o in orders for x in o)
+    def __init__(self, store: fs.FileSystem, folders: dict[int, str], parts: int, held: Held):
+        self.store, self.folders, self.parts, self.held = store, folders, parts, held
 
     @classmethod
-    def read(cls, path: str, name: str) -> Model | None:
+    def read(cls, path: str, name: str, held: Held | None = None) -> Model | None:
         """From the folder that ``fit`` gave, in whatever store it is; None if it isn't there."""
         store, at = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
         at = f"{at}/_m={folder_name(name)}"
         if store.get_file_info(at).type == fs.FileType.NotFound:
             return None
-        rows = ds.dataset(at, filesystem=store, format="parquet").to_table().to_pylist()
-        return cls([tuple(np.frombuffer(r[n], t) for n, t in zip(PARTS, _TYPES, strict=True)) for r in sorted(rows, key=lambda r: r["order"])])
+        found = [(*map(int, x.base_name[3:].split("-")), x.path) for x in store.get_file_info(fs.FileSelector(at)) if x.base_name.startswith("_p=")]
+        return cls(store, {i: folder for i, _, folder in found}, found[0][1], held or Held())
+
+    def _load(self, folder: str) -> list[tuple]:
+        rows = ds.dataset(folder, filesystem=self.store, format="parquet").to_table().to_pylist()
+        return [tuple(np.frombuffer(r[n], t) for n, t in zip(PARTS, _TYPES, strict=True)) for r in sorted(rows, key=lambda r: r["order"])]
 
     def probabilities(self, grams: np.ndarray) -> np.ndarray:
         """Of the lowest symbol of each n-gram after the others."""
+        of_order = [grams & ((1 << (BITS * k)) - 1) for k in range(1, ORDER + 1)]
+        share, left = np.zeros((ORDER, len(grams))), np.ones((ORDER, len(grams)))
+        homes = [home(g, self.parts) for g in of_order] if self.parts > 1 else None
+        # those held come first, so that a model larger than what is held isn't read whole again
+        for i, folder in sorted(self.folders.items(), key=lambda x: x[1] not in self.held.parts):
+            for k, (gram, shares, context, lefts) in enumerate(self.held.get(folder, lambda: self._load(folder)), 1):
+                at = np.flatnonzero(homes[k - 1] == i) if homes else slice(None)
+                g = of_order[k - 1][at]
+                share[k - 1, at] = _look(gram, shares, k, g, 0.0)
+                left[k - 1, at] = _look(context, lefts, k + ORDER, g >> BITS, 1.0)
         p = np.full(len(grams), 1.0 / (1 << BITS))
-        for k, (gram, share, context, left) in enumerate(self.orders, 1):
-            g = grams & ((1 << (BITS * k)) - 1)
-            p = _look(gram, share, k, g, 0.0) + _look(context, left, k + ORDER, g >> BITS, 1.0) * p
+        for k in range(ORDER):
+            p = share[k] + left[k] * p
         return p
 
     def log_ppl(self, code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -318,15 +363,14 @@ def measure(docs: DataFrame, models: str) -> DataFrame:
     names = schema.names
 
     def model_of(name: str) -> Model | None:
-        held = worker_cache("quality")
-        if (key, name) not in held:
-            for k in [k for k in held if k[0] != key]:
-                del held[k]
-            held[key, name] = Model.read(models, name)
-            for k in list(held)[:-1]:
-                if sum(m.size for m in held.values() if m) > HELD_BYTES:
-                    del held[k]
-        return held[key, name]
+        cache = worker_cache("quality")
+        if key not in cache:
+            cache.clear()
+            cache[key] = Held(), {}
+        held, found = cache[key]
+        if name not in found:
+            found[name] = Model.read(models, name, held)
+        return found[name]
 
     def run(batches):
         for batch in batches:
@@ -340,7 +384,8 @@ def measure(docs: DataFrame, models: str) -> DataFrame:
                 model = model_of(name)
                 mine = np.flatnonzero(np.array([x == name for x in others]) & (size > 0)) if model else np.zeros(0, np.int64)
                 ends = np.r_[0, np.cumsum(size[mine])]
-                for lo, hi in T.chunks(ends, _CHUNK):
+                # a model in parts may be read anew for each chunk, so those are larger
+                for lo, hi in T.chunks(ends, _CHUNK if model is None or model.parts == 1 else 4 * _CHUNK):
                     buf = np.concatenate([buf_all[off_all[i] : off_all[i + 1]] for i in mine[lo:hi].tolist()])
                     sym, off = symbols(buf, ends[lo : hi + 1] - ends[lo])
                     ppl[mine[lo:hi]] = model.log_ppl(codes(sym, off), off)

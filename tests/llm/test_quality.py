@@ -138,3 +138,29 @@ def test_copies_leave_bands_alone(spark, small):
     near = [(1_000_000 + i, f"{text} {i}", lang) for i in range(2 * len(own))]
     beside = Q.judge(frame([*map(tuple, own), *near])).first()
     assert beside["highest"] - beside["lowest"] >= (Q.BELOW + Q.ABOVE) * Q.SPREAD - 1e-9
+
+
+def gram(text):
+    return sum(ord(ch) << (Q.BITS * k) for k, ch in enumerate(reversed(text)))
+
+
+def test_rare_ngrams_count(spark):
+    """An n-gram seen once among twenty million others has its share, as when nothing is rare."""
+    for often in (20, 20_000_000):
+        d = spark.createDataFrame([("m", gram("aaaaa"), often), ("m", gram("bcdef"), 1)], "model string, g long, raw long")
+        p = Q.Model.read(Q.fit(d), "m").probabilities(np.array([gram("bcdef")]))[0]
+        # of each context's one n-gram nine tenths are taken off at most, and go to the order below
+        assert p > 0.1, often
+
+
+def test_parts(spark, small):
+    """A model in many parts, of which few are held, gives what it gives in one."""
+    d = small.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
+    name, counts = Q.model_name([d.first()["lang"]], [0])[0], Q.count_ngrams(d)
+    buf, off = Q.T.texts(pa.array([r["text"] for r in d.limit(20).collect()]))
+    grams = np.unique(np.r_[Q.codes(*Q.symbols(buf, off)), np.arange(5000)])
+    one, many = Q.Model.read(Q.fit(counts), name), Q.Model.read(Q.fit(counts, part=1000), name, Q.Held(50_000))
+    assert one.parts == 1 and many.parts > 5
+    for _ in range(2):
+        assert (many.probabilities(grams) == one.probabilities(grams)).all()
+        assert 1 <= len(many.held.parts) < many.parts
