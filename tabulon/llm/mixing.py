@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.shared import if_small, running, written
+from tabulon.llm.shared import if_small, release, running, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block, wished words of a shard.
 BLOCK, SHARD_WORDS = 64, 1 << 20
-#: Divisors that one pass over the items tries for each group, and passes.
+#: Parts that one pass over the items cuts the range of each group's divisors into, and passes.
 TRIED, PASSES = 32, 4
+#: Quotients of a group and of all groups that are ranked without another pass.
+RANKED, ALL_RANKED = 100_000, 1_000_000
 
 
 def source_targets(per_source: DataFrame, weights: list[int], share: float, ceiling: float) -> DataFrame:
@@ -43,8 +45,9 @@ def apportion(items: DataFrame, seats: str = "_seats") -> DataFrame:
     highest quotients _weight / (2k + 1); ties go to the smaller _item.
 
     The divisor whose rounded shares sum to the seats is closed in on for all groups at once,
-    TRIED divisors in each of PASSES aggregations, so what is left to rank is the few quotients
-    between the last two divisors and those that tie.
+    in at most PASSES aggregations, until few quotients lie between the two divisors next to
+    it. Those, and those that tie, are ranked. Each pass is a plan of its own, so that the
+    driver holds no large one.
     """
     w = F.col("_weight")
     some = items.filter((w > 0) & (F.col(seats) > 0))
@@ -53,15 +56,19 @@ def apportion(items: DataFrame, seats: str = "_seats") -> DataFrame:
     above = F.when(F.col("_k") > n, F.least(total / (F.col("_k") - n), 2.001 * F.col("_top"))).otherwise(2.001 * F.col("_top"))
     divisors = d.select("_group", "_k", (total / (F.col("_k") + n) * 0.999).alias("_lo"), (above * 1.001).alias("_hi"))
     of = lambda divisor: F.floor(w / divisor + 0.5)
-    # as texts, since a pass has hundreds of expressions
-    step = {j: f"_lo * pow(_hi / _lo, {j / TRIED}D)" for j in range(1, TRIED)}
-    sums = [F.expr(f"sum(floor(_weight / ({x}) + 0.5D)) AS s{j}") for j, x in step.items()]
-    lo = ", ".join(f"CASE WHEN s{j} >= _k THEN {x} END" for j, x in step.items())
-    hi = ", ".join(f"CASE WHEN s{j} <= _k THEN {x} END" for j, x in step.items())
+    divisors = written(divisors, "divisors")
     for _ in range(PASSES):
-        tried = some.join(divisors, "_group").groupBy("_group", "_k", "_lo", "_hi").agg(*sums)
-        divisors = tried.selectExpr("_group", "_k", f"greatest(_lo, {lo}) AS _lo", f"least(_hi, {hi}) AS _hi")
-    d = some.join(written(divisors, "divisors"), "_group").select("_group", "_item", "_weight", "_k", of(F.col("_hi")).alias("_base"), F.greatest(of(F.col("_hi")), of(F.col("_lo"))).alias("_most"))
+        tried = some.join(divisors, "_group").withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(TRIED))))
+        tried = tried.withColumn("_divisor", F.when(F.col("_j") == TRIED, F.col("_hi")).otherwise(F.col("_lo") * F.pow(F.col("_hi") / F.col("_lo"), F.col("_j") / TRIED)))
+        tried = tried.groupBy("_group", "_k", "_divisor").agg(F.sum(of(F.col("_divisor"))).alias("_s"))
+        enough, few = F.when(F.col("_s") >= F.col("_k"), F.col("_divisor")), F.when(F.col("_s") <= F.col("_k"), F.col("_divisor"))
+        left = F.min(F.when(enough.isNotNull(), F.col("_s"))) - F.max(F.when(few.isNotNull(), F.col("_s")))
+        before, divisors = divisors, written(tried.groupBy("_group", "_k").agg(F.max(enough).alias("_lo"), F.min(few).alias("_hi"), left.alias("_left")), "divisors")
+        release(before)
+        most, all_left = divisors.agg(F.max("_left"), F.sum("_left")).collect()[0]
+        if (most or 0) <= RANKED and (all_left or 0) <= ALL_RANKED:
+            break
+    d = some.join(divisors, "_group").select("_group", "_item", "_weight", "_k", of(F.col("_hi")).alias("_base"), F.greatest(of(F.col("_hi")), of(F.col("_lo"))).alias("_most"))
     need = d.groupBy("_group").agg((F.max("_k") - F.sum("_base")).alias("_need"))
     close = d.filter("_most > _base").withColumn("_kth", F.explode(F.sequence("_base", F.col("_most") - 1)))
     by_quotient = Window.partitionBy("_group").orderBy((w / (2 * F.col("_kth") + 1)).desc(), "_item", "_kth")
@@ -118,9 +125,11 @@ def mix(
     quotas = quotas.withColumn("_lo", F.when(words > 0, F.pmod(start, F.ceil(words / block)) * block).otherwise(0))
     quotas = quotas.withColumn("_hi", F.col("_lo") + F.col("_rest")).withColumn("_round", words)
 
+    quotas = written(quotas.select("_s", "_shard", "_rounds", "_lo", "_hi", "_round"), "quotas")
+
     line = Window.partitionBy("_s", "_shard").orderBy("_key", "doc_id", "size")
     d = d.withColumn("_end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_start", F.col("_end") - F.col("size"))
-    d = d.join(quotas.select("_s", "_shard", "_rounds", "_lo", "_hi", "_round"), ["_s", "_shard"])
+    d = d.join(quotas, ["_s", "_shard"])
     overlap = lambda a: F.greatest(F.lit(0), F.least(F.col("_end") + a, F.col("_hi")) - F.greatest(F.col("_start") + a, F.col("_lo")))
     d = d.withColumn("taken", (F.col("_rounds") * F.col("size") + overlap(F.lit(0)) + overlap(F.col("_round"))).cast("long"))
     return d.select(*[c for c in docs.columns if c not in own], *own)

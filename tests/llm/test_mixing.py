@@ -73,6 +73,23 @@ def test_apportion(spark):
         assert [got[g][i] for i in range(len(ws))] == (by_quotients(ws, seats) if any(ws) else [0] * len(ws)), g
 
 
+def test_passes(spark, monkeypatch):
+    """Each pass is a plan of its own, however many there are; they close in on the same seats."""
+    plans, write = [], M.written
+    monkeypatch.setattr(M, "written", lambda df, what: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, what))
+    weights = [float(k * k % 97 + 1) for k in range(200)]
+    items = spark.createDataFrame([("a", i, w, 5000) for i, w in enumerate(weights)], "_group string, _item long, _weight double, _seats long")
+    want, passes = by_quotients(weights, 5000), []
+    for ranked in (M.RANKED, -1):
+        monkeypatch.setattr(M, "RANKED", ranked)
+        plans.clear()
+        got = {r["_item"]: r["_q"] for r in M.apportion(items).collect()}
+        assert [got[i] for i in range(len(weights))] == want
+        assert max(x.count("Join ") for x in plans) == 1
+        passes.append(len(plans) - 1)
+    assert passes == [1, M.PASSES]
+
+
 def test_many_sources(spark):
     """A source a document, as with addresses: what is taken in all comes near the mix's size."""
     d = spark.range(900).selectExpr("id AS doc_id", "repeat('w ', cast(20 + id % 300 AS int)) AS text", "concat('u', id) AS source")
