@@ -17,7 +17,7 @@ from tabulon.llm.shared import vocabulary, written
 LENGTH, END = 4096, 2
 #: Pieces that one group is meant to rank, and the fewest and most groups of a length.
 RANKED, LEAST, MOST = 500_000, 64, 4096
-_CHUNK = 1 << 20
+_CHUNK = 4 << 20
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:

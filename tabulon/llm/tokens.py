@@ -2,20 +2,29 @@
 
 Both vocabularies split a text before merging, and no token crosses such a split. So parts
 between splits that are certain from the bytes alone are encoded once and looked up after;
-the ids are those of encoding each whole text at once, which the tests compare.
+the ids are those of encoding each whole text at once, which the tests compare. Texts are cut,
+and their ids put together, by Arrow; Python sees the distinct parts of a call only.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tabulon.llm.shared import worker_cache
 
 #: Parts that a worker's cache holds before it starts anew.
 HELD = 600_000
 _GROUP = 400
+#: Runs of these marks, and of Latin letters, are what both vocabularies split a text into. The
+#: apostrophe, which may begin a part of its own, is none of them.
+_MARKS = rb"[!-&(-/:-@\[-`{-~]"
+_LATIN = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+_LOWER = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])"
 
 
 def _load(path: str):
@@ -25,9 +34,23 @@ def _load(path: str):
     return Tokenizer.from_file(path)
 
 
+def _per_line(tok):
+    """The tokenizer's own merges for a text whose lines are parts that it splits no further and
+    that it leaves as they are: without the search for splits, which costs more than the merges."""
+    from tokenizers import Tokenizer, pre_tokenizers as P
+
+    out = Tokenizer(tok.model)
+    out.pre_tokenizer = P.Sequence([P.CharDelimiterSplit("\n"), P.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return out
+
+
 class _Cached:
+    #: Matches a part of letters and marks after them, as two groups.
+    plain: re.Pattern
+
     def __init__(self, path: str):
         self.tok = _load(path)
+        self.lines = _per_line(self.tok)
         self.cache: dict[bytes, bytes | None] = {}
 
     def whole(self, text: bytes) -> bytes:
@@ -37,13 +60,15 @@ class _Cached:
         found = self.tok.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _jointly(self, words: list[str], glue: str, mark: np.ndarray, at_end: bool) -> list[bytes]:
+    def _jointly(self, words: list[str], glue: str, mark: np.ndarray, at_end: bool, unsplit: bool = False) -> list[bytes]:
         """Words of letters, encoded many at a time; ``mark`` tells the ids that end (or begin)
-        a word. Where they don't give one a word, the words are encoded singly."""
+        a word. Where they don't give one a word, the words are encoded singly. ``unsplit``:
+        they are of ``_LATIN`` or ``_LOWER``, so each can be a line of its own."""
         out: list[bytes] = []
         groups = [words[i : i + _GROUP] for i in range(0, len(words), _GROUP)]
-        texts = [glue.join(g) if at_end else glue + glue.join(g) for g in groups]
-        for group, x in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        line = "\n" + glue if unsplit and not at_end else "\n" if unsplit else glue
+        texts = [line.join(g) if at_end else glue + line.join(g) for g in groups]
+        for group, x in zip(groups, (self.lines if unsplit else self.tok).encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(x.ids, "<u4")
             at = np.flatnonzero(mark[ids])
             if len(at) != len(group):
@@ -54,6 +79,31 @@ class _Cached:
             out += [raw[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
+    def _learn_plain(self, new: set[bytes]) -> list[bytes]:
+        """Learn the parts of Latin letters and marks after them; returns the others."""
+        match, cache, other = self.plain.fullmatch, self.cache, []
+        if b"" in new:  # of an empty text, or before white space at a text's start
+            cache[b""] = b""
+            new = new.difference([b""])
+        alone = [w for w in new if w.isalpha() and w.islower()]
+        tailed, cores, marks = [], [], []
+        for w in new.difference(alone):
+            m = match(w)
+            if m is None:
+                other.append(w)
+            elif m[2]:
+                tailed.append(w)
+                cores.append(m[1])
+                marks.append(m[2])
+            else:
+                alone.append(w)
+        alone += set(cores).difference(cache, alone)
+        cache.update(zip(alone, self._letters(alone), strict=True))
+        kinds = list(set(marks))
+        ids = dict(zip(kinds, self._singly([x.decode() for x in kinds]), strict=True))
+        cache.update(zip(tailed, [cache[c] + ids[x] for c, x in zip(cores, marks, strict=True)], strict=True))
+        return other
+
     def _marks(self, of) -> np.ndarray:
         out = np.zeros(self.tok.get_vocab_size() + 1, bool)
         for token, i in self.tok.get_vocab().items():
@@ -62,57 +112,55 @@ class _Cached:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        parts = [self._parts(x) for x in texts]
-        used = set().union(*[p for p in parts if p is not None])
-        new = used.difference(self.cache)
+        ready = [self._ready(x) for x in texts]
+        parts = self._split_all(pa.array([b"" if x is None else x for x in ready], pa.large_binary()))
+        ends = np.asarray(parts.offsets)
+        coded = parts.values[ends[0] : ends[-1]].dictionary_encode()
+        used, at = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices
+        new = set(used).difference(self.cache)
         if new:
             if len(self.cache) > HELD:
                 self.cache.clear()
-                new = used
+                new = set(used)
             self._learn(new)
-        get = self.cache.__getitem__
-        out = []
-        for text, p in zip(texts, parts, strict=True):
-            try:
-                out.append(self.whole(text) if p is None else b"".join(map(get, p)))
-            except TypeError:  # a part has None: its cuts aren't certain
-                out.append(self.whole(text))
+        found = pa.array(map(self.cache.__getitem__, used), pa.large_binary())
+        ends = ends - ends[0]
+        unsure = np.r_[0, np.cumsum(np.asarray(found.is_null())[np.asarray(at)])][ends] if found.null_count else ends * 0
+        ids = found.fill_null(b"").take(at) if len(used) else found
+        _, place, data = ids.buffers()
+        place = np.frombuffer(place, np.int64)[ids.offset :][ends].tolist() if len(ids) else [0] * len(ends)
+        raw = memoryview(data or b"")
+        out = [bytes(raw[a:b]) for a, b in zip(place[:-1], place[1:], strict=True)]
+        for i in {i for i, x in enumerate(ready) if x is None}.union(np.flatnonzero(np.diff(unsure)).tolist()):
+            out[i] = self.whole(texts[i])  # a part has None: its cuts aren't certain
         return out
 
-    def _cut_tails(self, new: set[bytes], tails: bytes) -> tuple[list[bytes], list[bytes], list[bytes]]:
-        """Of parts: those of ASCII letters only, those of such and one mark, and the others."""
-        plain, tailed, other = [], [], []
-        for w in new:
-            if w.isalpha():
-                plain.append(w)
-            elif w[-1] in tails and w[:-1].isalpha():
-                tailed.append(w)
-            else:
-                other.append(w)
-        return plain, tailed, other
-
 
 class WordIds(_Cached):
     """For word_bpe_49k: white space only separates, and letters are lower-cased."""
 
+    plain = re.compile(rb"(%b+)(%b*)" % (_LOWER, _MARKS))
+
     def __init__(self, path: str):
         super().__init__(path)
         self.ends = self._marks(lambda t: t.endswith("</w>"))
 
-    def _parts(self, text: bytes) -> list[bytes] | None:
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        return self._jointly(b" ".join(words).decode().split(), " ", self.ends, True, True)
+
+    def _ready(self, text: bytes) -> bytes | None:
         if b"<|" in text:  # may hold a special token
             return None
-        if b"\xcc" not in text and b"\xcd" not in text:  # no mark that composes with a letter
-            text = text.lower()
-        return text.split()
+        if b"\xcc" in text or b"\xcd" in text:  # marks that compose with a letter
+            return text
+        return text.lower()
+
+    def _split_all(self, texts: pa.LargeBinaryArray) -> pa.LargeListArray:
+        return pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(texts), texts.buffers()[1], texts.buffers()[2]))
 
     def _learn(self, new: set[bytes]) -> None:
-        plain, tailed, other = self._cut_tails(new, b".,;:!?")
-        cores = {w[:-1] for w in tailed}.difference(self.cache, plain)
-        keys = [*plain, *cores]
-        words = [w.decode() for w in keys]
         rest, single = [], []
-        for w in other:
+        for w in self._learn_plain(new):
             x = w.decode("utf-8", "replace")
             mark = x[-1] if x[-1] in ".,;:!?" else ""
             core = x[: len(x) - len(mark)]
@@ -120,14 +168,11 @@ class WordIds(_Cached):
                 rest.append((w, core, mark))
             else:
                 single.append((w, x))
-        done = self._jointly(words + [c for _, c, _ in rest], " ", self.ends, True)
-        self.cache.update(zip(keys, done))
+        done = self._jointly([c for _, c, _ in rest], " ", self.ends, True)
         self.cache.update(zip([w for w, _ in single], self._singly([x for _, x in single]), strict=True))
         marks = dict(zip(".,;:!?", self._singly([*".,;:!?"]), strict=True)) | {"": b""}
-        for (w, _, mark), ids in zip(rest, done[len(keys) :], strict=True):
+        for (w, _, mark), ids in zip(rest, done, strict=True):
             self.cache[w] = ids + marks[mark]
-        for w in tailed:
-            self.cache[w] = self.cache[w[:-1]] + marks[chr(w[-1])]
 
 
 class ByteIds(_Cached):
@@ -136,20 +181,25 @@ class ByteIds(_Cached):
     but at the text's start; a text that has other runs of spaces is encoded as a whole."""
 
     _TAIL = frozenset(b".,;:!?")
+    plain = re.compile(rb"(%b+)(%b*)" % (_LATIN, _MARKS))
 
     def __init__(self, path: str):
         super().__init__(path)
         self.starts = self._marks(lambda t: t.startswith("Ġ"))
 
-    def _parts(self, text: bytes) -> list[bytes] | None:
-        if b"<|" in text or b" \n" in text:
-            return None
-        if not text:
-            return []
-        first, *rest = text.split(b" ")
-        if not first or b"" in rest:
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        return self._jointly(b" ".join(words).decode().split(), " ", self.starts, False, True)
+
+    def _ready(self, text: bytes) -> bytes | None:
+        if b"<|" in text or b" \n" in text or b"  " in text or text[:1] == b" " or text[-1:] == b" ":
             return None
-        return [b"\n" + first, *rest]  # the newline marks that no space stands before
+        lines = text.split(b"\n")
+        if len(lines) > 1 and all(x and 32 < x[0] < 127 and 32 < x[-1] < 127 for x in lines):
+            text = b" \n\n \n".join(lines)
+        return b"\n" + text if text else b""  # the newline marks that no space stands before
+
+    def _split_all(self, texts: pa.LargeBinaryArray) -> pa.LargeListArray:
+        return pc.split_pattern(texts, b" ")
 
     @staticmethod
     def _split(piece: bytes) -> list[bytes] | None:
@@ -157,6 +207,8 @@ class ByteIds(_Cached):
         but the piece's first has the newline mark. None where its ends are white space."""
         spaced = piece[:1] != b"\n"
         out: list[bytes] = []
+        if piece == b"\n\n":
+            return [piece]
         for i, x in enumerate((piece if spaced else piece[1:]).split(b"\n")):
             s = x.decode("utf-8", "replace")
             if not s or s[0].isspace() or s[-1].isspace():
@@ -171,10 +223,8 @@ class ByteIds(_Cached):
         return out
 
     def _learn(self, new: set[bytes]) -> None:
-        plain, tailed, other = self._cut_tails(new, b".,;:!?")
-        split = {w: self._split(w) for w in other}
-        split.update((w, [w[:-1], b"\n" + w[-1:]]) for w in tailed)
-        cores = {c for p in split.values() if p for c in p}.union(plain).difference(self.cache)
+        split = {w: self._split(w) for w in self._learn_plain(new)}
+        cores = set(self._learn_plain({c for p in split.values() if p for c in p}.difference(self.cache)))
         spaced = [c for c in cores if c[:1] != b"\n"]
         words = [c.decode("utf-8", "replace") for c in spaced]
         alpha = [w.isalpha() for w in words]

@@ -3,7 +3,7 @@
 import zlib
 
 import numpy as np
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from tabulon.llm import packing as P
@@ -82,3 +82,43 @@ def test_byte_ids(texts):
     enc = tokens.encoder(tokens.ByteIds, vocabulary("byte_bpe_50k.json"))
     for t, ids in zip(texts, enc.encode([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+
+
+class _Counts:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tok):
+        self.tok, self.n = tok, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.n += len(texts)
+        return self.tok.encode_batch_fast(texts, **more)
+
+    def encode(self, text, **more):
+        self.n += 1
+        return self.tok.encode(text, **more)
+
+
+def test_marks_are_encoded_once():
+    words = [f"{a}{b}{c}" for a in ("an", "rê", "so") for b in ("ber", "çal", "tion") for c in ("ing", "é", "ly")]
+    text = " ".join(f"{w}{m}" for w in words for m in ("", ",", "###", "$|", "?!"))
+    for kind, name in ((tokens.WordIds, "word_bpe_49k.json"), (tokens.ByteIds, "byte_bpe_50k.json")):
+        enc = kind(vocabulary(name))
+        plain, enc.tok = enc.tok, _Counts(enc.tok)
+        got = enc.encode([text.encode(), b"", text.encode()])
+        assert enc.tok.n <= 4 + 6  # the marks, and WordIds' own six or a text's first word
+        for t, ids in zip([text, "", text], got, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+_LATIN = st.text(st.sampled_from("abZÀÿßµª×÷¡'’.,#|~@`_[^3 \n\t\x1cıİ\u0301"), max_size=40)
+
+
+@settings(max_examples=300, deadline=None)
+@example(["ABBA abba, e\u0301", "ABBA\nabba,\nÀ"])
+@given(st.lists(_LATIN, max_size=6))
+def test_latin_ids(texts):
+    for kind, name in ((tokens.WordIds, "word_bpe_49k.json"), (tokens.ByteIds, "byte_bpe_50k.json")):
+        enc = tokens.encoder(kind, vocabulary(name))
+        for t, ids in zip(texts, enc.encode([t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == enc.tok.encode(t, add_special_tokens=False).ids
