@@ -21,8 +21,10 @@ BLOCK, LANES = 4096, 1536
 EVERY = 64
 ONE = 1 << 15
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
-_S16, _S48 = np.uint64(16), np.uint64(48)
+_S15, _S16, _S48 = np.uint64(15), np.uint64(16), np.uint64(48)
 _HASH = 4096
+#: Bits that hold a sum of the counts of a block, at most BLOCK.
+_ROW = 13
 _LEAST, _MOST = 512, ONE - 512
 #: Next confidence by confidence * 2 + hit.
 _NEXT = np.array([0, 1, 0, 2, 1, 3, 1, 3], np.int32)
@@ -33,8 +35,9 @@ class _Model:
 
     def __init__(self, n: int):
         self.lane = np.arange(n, dtype=np.int64)
-        self.t1 = np.zeros(n * BLOCK, np.int32)
-        self.t2 = np.zeros(n * _HASH, np.int32)
+        self.lane4, self.lane8 = self.lane * 4, self.lane * 8
+        self.t1 = np.zeros(n * BLOCK, np.uint16)
+        self.t2 = np.zeros(n * _HASH, np.uint16)
         self.a = np.tile(np.array([2000, 9000, 16000, 24000], np.int32), n)
         self.b = np.tile(np.array([1000, 4000, 8000, 12000, 2000, 14000, 20000, 26000], np.int32), n)
         self.c = np.tile(np.array([500, 4000, 8000, 14000], np.int32), n)
@@ -42,38 +45,51 @@ class _Model:
         self.p1 = np.zeros(n, np.int64)
         self.p2 = np.zeros(n, np.int64)
         self.kinds = np.zeros(n, np.int64)
-        self.counts = np.zeros((n, BLOCK), np.int32)
-        self.cum = np.zeros((n, BLOCK + 1), np.int64)
+        self.counts = np.zeros((n, BLOCK), np.uint16)
+        self.each = self.counts.ravel()
+        self.cum = np.zeros((n, BLOCK + 1), np.int32)
         self.known = np.zeros(n, np.int64)
         self.total = np.zeros(n, np.int64)
 
     def sums(self, m: int) -> None:
-        """Order-0 sums of the first m blocks, each row offset so that all are one sorted array."""
+        """Order-0 sums of the first m blocks, each row with an offset of its own."""
         width = int(self.kinds[:m].max()) + 1
         if width > 1:
-            np.cumsum(self.counts[:m, : width - 1], axis=1, out=self.cum[:m, 1:width])
+            np.cumsum(self.counts[:m, : width - 1], axis=1, dtype=np.int32, out=self.cum[:m, 1:width])
         self.known[:m] = self.kinds[:m]
         self.total[:m] = self.cum[self.lane[:m], np.minimum(self.known[:m], width - 1)]
-        self.flat = (self.cum[:m, :width] + (self.lane[:m] << 20)[:, None]).ravel()
+        self.flat = (self.cum[:m, :width] + (self.lane[:m] << _ROW).astype(np.int32)[:, None]).ravel()
         self.width = width
 
+    def find(self, row: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Places of the last sums that aren't above v, in the rows that begin at ``row``: by
+        halves within a row, as a search of all rows at once reads far more memory."""
+        k, last = row.copy(), row + (self.width - 1)
+        v = v.astype(np.int32)
+        step = 1 << (self.width - 1).bit_length() >> 1
+        while step:
+            at = k + step
+            k = np.where((self.flat[np.minimum(at, last)] <= v) & (at <= last), at, k)
+            step >>= 1
+        return k
+
     def predict(self, m: int):
         lane = self.lane[:m]
-        self.i1 = lane * BLOCK + self.p1[:m]
-        self.i2 = lane * _HASH + ((self.p2[:m] * 2477 + self.p1[:m] * 31) & (_HASH - 1))
-        x1, x2 = self.t1[self.i1], self.t2[self.i2]
+        row = lane * BLOCK
+        self.i1 = row + self.p1[:m]
+        self.i2 = row + ((self.p2[:m] * 2477 + self.p1[:m] * 31) & (_HASH - 1))
+        x1, x2 = self.t1[self.i1].astype(np.int32), self.t2[self.i2].astype(np.int32)
         self.c1, self.n1, self.c2, self.n2 = x1 >> 2, x1 & 3, x2 >> 2, x2 & 3
         same = self.c1 == self.c2
-        self.ia = lane * 4 + self.n2
-        self.ib = lane * 8 + self.n1 + 4 * same
-        self.ic = lane * 4 + self.n1
+        self.has2 = self.n2 > 0
+        self.ia = self.lane4[:m] + self.n2
+        self.ib = self.lane8[:m] + self.n1 + (same.view(np.int8) << 2)
+        self.ic = self.lane4[:m] + self.n1
         self.pa, self.pb = self.a[self.ia], self.b[self.ib]
-        w = self.w[:m]
-        hit2 = np.clip((w * self.pa + (256 - w) * self.pb) >> 8, _LEAST, _MOST)
-        hit2[self.n2 == 0] = 0
-        self.has1 = (self.n1 > 0) & ~(same & (self.n2 > 0))
-        hit1 = ((ONE - hit2) * np.clip(self.c[self.ic], _LEAST, _MOST)) >> 15
-        hit1[~self.has1] = 0
+        self.gap = self.pa - self.pb
+        hit2 = np.minimum(np.maximum((self.w[:m] * self.gap >> 8) + self.pb, _LEAST), _MOST) * self.has2
+        self.has1 = (self.n1 > 0) & ~(same & self.has2)
+        hit1 = ((ONE - hit2) * np.minimum(np.maximum(self.c[self.ic], _LEAST), _MOST) >> 15) * self.has1
         return hit2, hit1
 
     def update(self, m: int, s: np.ndarray, is2: np.ndarray, is1: np.ndarray) -> None:
@@ -82,7 +98,7 @@ class _Model:
         goal = one << 15
         self.a[self.ia] = self.pa + ((goal - self.pa) >> 4)
         self.b[self.ib] = self.pb + ((goal - self.pb) >> 5)
-        self.w[:m] = np.clip(self.w[:m] + np.sign((self.pa - self.pb) * (2 * one - 1)) * 2, 16, 240)
+        self.w[:m] = np.minimum(np.maximum(self.w[:m] + np.sign(self.gap) * (4 * one - 2), 16), 240)
         at = np.flatnonzero(self.has1 & ~is2)
         if len(at):
             i = self.ic[at]
@@ -94,7 +110,7 @@ class _Model:
             k = _NEXT[2 * n + hit]
             fresh = (k == 0) | ((n == 0))
             table[i] = np.where(fresh, (s32 << 2) | 1, (c << 2) | k)
-        self.counts[self.lane[:m], s] += 1
+        self.each[self.lane[:m] * BLOCK + s] += 1
         np.add(self.kinds[:m], s == self.kinds[:m], out=self.kinds[:m])
         self.p2[:m] = self.p1[:m]
         self.p1[:m] = s
@@ -122,26 +138,22 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     low, rng = np.zeros(n, np.uint64), np.full(n, 2**63, np.uint64) * np.uint64(2) - np.uint64(1)
     out, pos = np.zeros((n, 2 * BLOCK + 64), np.uint16), np.zeros(n, np.int64)
 
-    def put(at, start, freq, total):
-        """Narrow the intervals of blocks ``at``, and write what is settled."""
-        r = rng[at] // total
+    def put(at, start, freq, total=None):
+        """Narrow the intervals of blocks ``at``, and write what is settled; no total: ONE."""
+        r = rng[at] // total if total is not None else rng[at] >> _S15
         lo = low[at] + start * r
         r *= freq
-        while True:
-            near = (lo ^ (lo + r)) < _TOP
-            small = r < _BOT
-            need = np.flatnonzero(near | small)
-            if not len(need):
-                break
-            x = lo[need]
-            tight = need[~near[need]]
-            if len(tight):
-                r[tight] = (~lo[tight] + np.uint64(1)) & (_BOT - np.uint64(1))
+        need = np.flatnonzero(((lo ^ (lo + r)) < _TOP) | (r < _BOT))
+        while len(need):
+            x, y = lo[need], r[need]
+            tight = (x ^ (x + y)) >= _TOP
+            if tight.any():
+                y[tight] = (~x[tight] + np.uint64(1)) & (_BOT - np.uint64(1))
             k = need if isinstance(at, slice) else at[need]
             out[k, pos[k]] = (x >> _S48).astype(np.uint16)
             pos[k] += 1
-            lo[need] = x << _S16
-            r[need] <<= _S16
+            lo[need], r[need] = x, y = x << _S16, y << _S16
+            need = need[((x ^ (x + y)) < _TOP) | (y < _BOT)]
         low[at], rng[at] = lo, r
 
     with np.errstate(over="ignore"):
@@ -158,14 +170,14 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             miss = ~(is2 | is1)
             start = np.where(is2, 0, np.where(is1, hit2, hit2 + hit1)).astype(np.uint64)
             freq = np.where(is2, hit2, np.where(is1, hit1, ONE - hit2 - hit1)).astype(np.uint64)
-            put(slice(0, m), start, freq, np.uint64(ONE))
+            put(slice(0, m), start, freq)
             at = np.flatnonzero(miss)
             if len(at):
                 v, known, total = s[at], model.known[at], model.total[at]
                 old = v < known
                 row = at * model.width
-                lo = np.where(old, model.flat[row + np.minimum(v, model.width - 1)] - (at << 20), total)
-                f = np.where(old, model.flat[row + np.minimum(v + 1, model.width - 1)] - (at << 20) - lo, _escape(known, total))
+                lo = np.where(old, model.flat[row + np.minimum(v, model.width - 1)] - (at << _ROW), total)
+                f = np.where(old, model.flat[row + np.minimum(v + 1, model.width - 1)] - (at << _ROW) - lo, _escape(known, total))
                 put(at, lo.astype(np.uint64), f.astype(np.uint64), (total + _escape(known, total)).astype(np.uint64))
                 at = at[~old]
                 if len(at):
@@ -192,7 +204,7 @@ def decode_blocks(coded: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     """Inverse of encode_blocks; sizes: ids of each block, descending."""
     n, steps = len(coded), int(sizes[0])
     width = max(map(len, coded)) // 2 + 8
-    code_in = np.zeros((n, width), np.uint64)
+    code_in = np.zeros((n, width), np.uint16)
     for k, x in enumerate(coded):
         code_in[k, : len(x) // 2] = np.frombuffer(x, "<u2")
     model = _Model(n)
@@ -203,28 +215,26 @@ def decode_blocks(coded: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
         for k in range(4):
             code = (code << _S16) | code_in[:, k]
 
-        def value(at, total):
-            """Where in ``total`` the code of blocks ``at`` points, and the unit of it."""
-            r = rng[at] // total
-            return np.minimum((code[at] - low[at]) // r, total - np.uint64(1)), r
+        def value(at, total=None):
+            """Where in ``total`` (ONE) the code of blocks ``at`` points, and the unit of it."""
+            r = rng[at] // total if total is not None else rng[at] >> _S15
+            return np.minimum((code[at] - low[at]) // r, (np.uint64(ONE) if total is None else total) - np.uint64(1)), r
 
         def take(at, r, start, freq):
             lo = low[at] + start * r
             r = r * freq
             co = code[at]
-            while True:
-                near = (lo ^ (lo + r)) < _TOP
-                need = np.flatnonzero(near | (r < _BOT))
-                if not len(need):
-                    break
-                tight = need[~near[need]]
-                if len(tight):
-                    r[tight] = (~lo[tight] + np.uint64(1)) & (_BOT - np.uint64(1))
+            need = np.flatnonzero(((lo ^ (lo + r)) < _TOP) | (r < _BOT))
+            while len(need):
+                x, y = lo[need], r[need]
+                tight = (x ^ (x + y)) >= _TOP
+                if tight.any():
+                    y[tight] = (~x[tight] + np.uint64(1)) & (_BOT - np.uint64(1))
                 k = need if isinstance(at, slice) else at[need]
                 co[need] = (co[need] << _S16) | code_in[k, np.minimum(pos[k], width - 1)]
                 pos[k] += 1
-                lo[need] <<= _S16
-                r[need] <<= _S16
+                lo[need], r[need] = x, y = x << _S16, y << _S16
+                need = need[((x ^ (x + y)) < _TOP) | (y < _BOT)]
             low[at], rng[at], code[at] = lo, r, co
 
         m = n
@@ -234,7 +244,7 @@ def decode_blocks(coded: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
             if t % EVERY == 0:
                 model.sums(m)
             hit2, hit1 = model.predict(m)
-            v, r = value(slice(0, m), np.uint64(ONE))
+            v, r = value(slice(0, m))
             v = v.astype(np.int64)
             is2 = v < hit2
             is1 = ~is2 & (v < hit2 + hit1)
@@ -249,10 +259,10 @@ def decode_blocks(coded: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
                 v, r = value(at, (total + esc).astype(np.uint64))
                 v = v.astype(np.int64)
                 old = v < total
-                k = np.searchsorted(model.flat, np.where(old, v, 0) + (at << 20), "right") - 1
                 row = at * model.width
-                lo = np.where(old, model.flat[k] - (at << 20), total)
-                f = np.where(old, model.flat[np.minimum(k + 1, len(model.flat) - 1)] - (at << 20) - lo, esc)
+                k = model.find(row, np.where(old, v, 0) + (at << _ROW))
+                lo = np.where(old, model.flat[k] - (at << _ROW), total)
+                f = np.where(old, model.flat[np.minimum(k + 1, len(model.flat) - 1)] - (at << _ROW) - lo, esc)
                 take(at, r, lo.astype(np.uint64), f.astype(np.uint64))
                 s[at] = k - row
                 at = at[~old]

@@ -26,7 +26,7 @@ MAGIC = b"TIDX0001"
 END = 0
 #: Bytes of text that a file is meant to hold.
 FILE_BYTES = 24 << 20
-_CHUNK = 1 << 20
+_CHUNK = 4 << 20
 
 
 class Writer:

@@ -76,3 +76,21 @@ def test_damage(tmp_path):
     path.write_bytes(raw[:-60] + bytes([raw[-60] ^ 1]) + raw[-59:])
     with pytest.raises(ValueError):
         list(F.read_documents(Ranges(str(path))))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.integers(1, 5), st.integers(0, 70))
+def test_find_in_rows(seed, n, kinds):
+    rng = np.random.default_rng(seed)
+    model = R._Model(n)
+    model.kinds[:] = rng.integers(0, kinds + 1, n)
+    for k in range(n):
+        model.counts[k, : model.kinds[k]] = rng.integers(1, 50, model.kinds[k])
+    model.sums(n)
+    for k in range(n):
+        sums = model.cum[k, : model.known[k] + 1]
+        assert sums[-1] == model.total[k] == model.counts[k].sum()
+        v = np.arange(int(model.total[k]))
+        at = np.full(len(v), k)
+        got = model.find(at * model.width, v + (at << R._ROW)) - at * model.width
+        assert (got == np.searchsorted(sums, v, "right") - 1).all()
