@@ -22,7 +22,7 @@ from tabulon.llm import tokens
 from tabulon.llm.blobs import Ranges, list_blobs, write_blobs
 from tabulon.llm.shared import new_dir, running, schema_with, vocabulary
 
-MAGIC = b"TIDX0001"
+MAGIC = b"TIDX0002"
 END = 0
 #: Bytes of text that a file is meant to hold.
 FILE_BYTES = 24 << 20
@@ -63,7 +63,7 @@ class Writer:
         step = -(-len(cut) // groups)
         for i in range(0, len(cut), step):
             for block, x in zip(cut[i : i + step], R.encode_blocks(cut[i : i + step]), strict=True):
-                self.blocks.append((at, len(x), len(block), zlib.crc32(block.astype("<u4").tobytes())))
+                self.blocks.append((at, len(x), len(block), zlib.crc32(block.astype("<u2").tobytes())))
                 out.append(x)
                 at += len(x)
         return self._part(b"".join(out))
@@ -105,7 +105,7 @@ def read_documents(file: Ranges):
         coded = [raw[a - lo : a - lo + n] for a, n in group[:, :2].tolist()]
         ids = R.decode_blocks(coded, group[:, 2])
         for k, x in enumerate(ids):
-            if zlib.crc32(x.astype("<u4").tobytes()) != group[k, 3]:
+            if zlib.crc32(x.astype("<u2").tobytes()) != group[k, 3]:
                 raise ValueError(f"block {i + k} is damaged")
         flow, at = np.concatenate([rest, *ids]), 0
         while nth < len(docs) and at + sizes[nth] <= len(flow):
@@ -130,7 +130,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END, fi
     def run(batches):
         enc, out = tokens.encoder(tokens.ByteIds, vocabulary), Writer()
         blob = lambda x: pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], names=["blob"])
-        tail, begun = np.array([end], np.uint32), False
+        tail, begun = struct.pack("<I", end), False
         for batch in batches:
             if batch.num_rows and not begun:
                 begun = True
@@ -140,7 +140,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END, fi
             for lo, hi in T.chunks(off, _CHUNK):
                 o = off[lo : hi + 1].tolist()
                 for d, ids in enumerate(enc.encode([raw[a:b] for a, b in zip(o[:-1], o[1:], strict=True)])):
-                    for part in out.add(keys[lo + d], np.r_[np.frombuffer(ids, "<u4"), tail]):
+                    for part in out.add(keys[lo + d], np.frombuffer(ids + tail, "<u4")):
                         yield blob(part)
         if begun:
             for part in out.end():

@@ -8,6 +8,7 @@ and their ids put together, by Arrow; Python sees the distinct parts of a call o
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 
@@ -19,12 +20,18 @@ from tabulon.llm.shared import worker_cache
 
 #: Parts that a worker's cache holds before it starts anew.
 HELD = 600_000
-_GROUP = 400
+#: Words that are held as Arrow's bytes, some 40 each.
+WORDS = 1_500_000
+_GROUP, _FEW = 400, 100
 #: Runs of these marks, and of Latin letters, are what both vocabularies split a text into. The
 #: apostrophe, which may begin a part of its own, is none of them.
 _MARKS = rb"[!-&(-/:-@\[-`{-~]"
 _LATIN = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
 _LOWER = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])"
+#: By byte: whether it is one of ``_LATIN`` by itself (1), one of ``_MARKS`` (2), neither (0).
+_KIND = np.array([1 if re.fullmatch(_LATIN, bytes([x])) else 2 if re.fullmatch(_MARKS, bytes([x])) else 0 for x in range(256)], np.uint8)
+#: Bytes that are one of ``_LATIN`` with the byte C3 before them.
+_AFTER_C3 = np.array([bool(re.fullmatch(_LATIN, bytes([0xC3, x]))) for x in range(256)])
 
 
 def _load(path: str):
@@ -34,16 +41,52 @@ def _load(path: str):
     return Tokenizer.from_file(path)
 
 
-def _per_line(tok):
+def _per_line(tok, mapped: bool = False):
     """The tokenizer's own merges for a text whose lines are parts that it splits no further and
-    that it leaves as they are: without the search for splits, which costs more than the merges."""
+    that it leaves as they are: without the search for splits, which costs more than the merges.
+    ``mapped``: the text is written in the letters that stand for bytes."""
     from tokenizers import Tokenizer, pre_tokenizers as P
 
     out = Tokenizer(tok.model)
-    out.pre_tokenizer = P.Sequence([P.CharDelimiterSplit("\n"), P.ByteLevel(add_prefix_space=False, use_regex=False)])
+    split = P.CharDelimiterSplit("\n")
+    out.pre_tokenizer = split if mapped else P.Sequence([split, P.ByteLevel(add_prefix_space=False, use_regex=False)])
     return out
 
 
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.LargeBinaryArray:
+    """Values of these sizes in bytes that follow each other in data."""
+    place = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=place[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(place), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _letters_and_marks(parts: pa.LargeBinaryArray) -> tuple[np.ndarray, pa.LargeBinaryArray, pa.LargeBinaryArray]:
+    """Which parts are of ``_LATIN`` and ``_MARKS`` after them, if any; those parts' letters and marks."""
+    _, place, data = parts.buffers()
+    place = np.frombuffer(place, np.int64)[parts.offset : parts.offset + len(parts) + 1]
+    raw = np.frombuffer(data or b"", np.uint8)[place[0] : place[-1]]
+    place = place - place[0]
+    sizes = np.diff(place)
+    pair = np.r_[(raw[:-1] == 0xC3) & _AFTER_C3[raw[1:]], np.zeros(min(1, len(raw)), bool)]
+    pair[place[1:][sizes > 0] - 1] = False
+    kind = _KIND[raw]
+    kind[pair] = 1
+    kind[1:][pair[:-1]] = 1
+    letters, marks = (np.cumsum(np.r_[False, kind == k], dtype=np.int64 if len(kind) >> 31 else np.int32) for k in (1, 2))
+    n, m = (x[place[1:]] - x[place[:-1]] for x in (letters, marks))
+    plain = (n > 0) & (n + m == sizes) & (letters[place[:-1] + n] - letters[place[:-1]] == n)
+    of = np.repeat(plain, sizes)
+    return plain, _binary(raw[of & (kind == 1)], n[plain]), _binary(raw[of & (kind == 2)], m[plain])
+
+
+def _alphabet() -> str:
+    """By byte: the letter that stands for it in tokens of bytes; a newline is left as it is."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    letters = {b: chr(b) if b in own else chr(next(others)) for b in range(256)}
+    return "".join((letters | {10: "\n"}).values())
+
+
 class _Cached:
     #: Matches a part of letters and marks after them, as two groups.
     plain: re.Pattern
@@ -110,23 +153,27 @@ class _Cached:
             out[i] = of(token)
         return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
-        ready = [self._ready(x) for x in texts]
-        parts = self._split_all(pa.array([b"" if x is None else x for x in ready], pa.large_binary()))
-        ends = np.asarray(parts.offsets)
-        coded = parts.values[ends[0] : ends[-1]].dictionary_encode()
-        used, at = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices
+    def _found(self, parts: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """Ids of each part; null where its cuts aren't certain."""
+        used = parts.to_pylist()
         new = set(used).difference(self.cache)
         if new:
             if len(self.cache) > HELD:
                 self.cache.clear()
                 new = set(used)
             self._learn(new)
-        found = pa.array(map(self.cache.__getitem__, used), pa.large_binary())
+        return pa.array(map(self.cache.__getitem__, used), pa.large_binary())
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers."""
+        ready = [self._ready(x) for x in texts]
+        parts = self._split_all(pa.array([b"" if x is None else x for x in ready], pa.large_binary()))
+        ends = np.asarray(parts.offsets)
+        coded = parts.values[ends[0] : ends[-1]].dictionary_encode()
+        found, at = self._found(coded.dictionary.cast(pa.large_binary())), coded.indices
         ends = ends - ends[0]
         unsure = np.r_[0, np.cumsum(np.asarray(found.is_null())[np.asarray(at)])][ends] if found.null_count else ends * 0
-        ids = found.fill_null(b"").take(at) if len(used) else found
+        ids = found.fill_null(b"").take(at) if len(found) else found
         _, place, data = ids.buffers()
         place = np.frombuffer(place, np.int64)[ids.offset :][ends].tolist() if len(ids) else [0] * len(ends)
         raw = memoryview(data or b"")
@@ -181,21 +228,93 @@ class ByteIds(_Cached):
     but at the text's start; a text that has other runs of spaces is encoded as a whole."""
 
     _TAIL = frozenset(b".,;:!?")
+    #: What a line may begin with to be cut from the one before: nothing that is white space.
+    seen = re.compile(rb"[!-~\xc3]")
+    #: A newline without such before it (or the second byte after C3) or behind it.
+    torn = re.compile(rb"\n(?:(?![!-~\xc3])|(?<![!-~]\n)(?<!\xc3[\x00-\xff]\n))")
     plain = re.compile(rb"(%b+)(%b*)" % (_LATIN, _MARKS))
 
     def __init__(self, path: str):
         super().__init__(path)
         self.starts = self._marks(lambda t: t.startswith("Ġ"))
+        self.mapped, self.alphabet = _per_line(self.tok, True), _alphabet()
+        self.bang = self.tok.token_to_id("!")
+        self.words, self.word_ids = pa.array([], pa.large_binary()), pa.array([], pa.large_binary())
 
     def _letters(self, words: list[bytes]) -> list[bytes]:
         return self._jointly(b" ".join(words).decode().split(), " ", self.starts, False, True)
 
+    def _lines(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts as ``_per_line`` gives them, without its search for bytes' letters."""
+        found = self.mapped.encode_batch_fast([codecs.charmap_decode(x, "strict", self.alphabet)[0] for x in texts], add_special_tokens=False)
+        return [np.array(x.ids, "<u4") for x in found]
+
+    def _spaced(self, words: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """Ids of words of ``_LATIN`` with a space before each, many at a time."""
+        ends = np.r_[np.arange(0, len(words), _FEW), len(words)]
+        lines = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), words), pa.scalar(b"\n ", pa.large_binary())).to_pylist()
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for i, found in enumerate(self._lines([b" " + x for x in lines])):
+            first = np.flatnonzero(self.starts[found])
+            size = np.diff(first, append=len(found))
+            if len(first) != ends[i + 1] - ends[i] or first[0]:
+                singly = self._singly([" " + w.decode() for w in words[ends[i] : ends[i + 1]].to_pylist()])
+                found, size = np.frombuffer(b"".join(singly), "<u4"), np.array([len(w) // 4 for w in singly])
+            ids.append(found)
+            sizes.append(size)
+        return _binary(np.concatenate(ids), 4 * np.concatenate(sizes))
+
+    def _unspaced(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of ``_LATIN`` with no space before them, a mark's line after each."""
+        groups = [words[i : i + _FEW] for i in range(0, len(words), _FEW)]
+        out: list[bytes] = []
+        for group, ids in zip(groups, self._lines([b"\n!\n".join([*g, b""]) for g in groups]), strict=True):
+            at = np.flatnonzero(ids == self.bang).tolist()
+            if len(at) != len(group):
+                out += self._singly([w.decode() for w in group])
+                continue
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *(i + 1 for i in at[:-1])], at, strict=True)]
+        return out
+
+    def _held(self, words: pa.LargeBinaryArray) -> np.ndarray:
+        """Places of distinct words among those that are held, with those that weren't."""
+        if len(self.words) > WORDS:
+            self.words, self.word_ids = words[:0], words[:0]
+        known = pc.index_in(self.words, value_set=words).fill_null(-1).to_numpy()  # far more than the words
+        at = np.flatnonzero(known >= 0)
+        place = np.full(len(words), -1)
+        place[known[at]] = at
+        new = place < 0
+        if new.any():
+            place[new] = len(self.words) + np.arange(np.count_nonzero(new))
+            new = words.filter(pa.array(new))
+            self.word_ids = pa.concat_arrays([self.word_ids, self._spaced(new)])
+            self.words = pa.concat_arrays([self.words, new])
+        return place
+
+    def _found(self, parts: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """Parts of letters and marks without a Python object for each."""
+        if not len(parts):
+            return parts
+        plain, words, marks = _letters_and_marks(parts)
+        words, marks = words.dictionary_encode(), marks.dictionary_encode()
+        kinds = [x.decode() for x in marks.dictionary.to_pylist()]
+        of = self._held(words.dictionary)
+        both = pa.concat_arrays([self.word_ids, pa.array(self._singly(kinds), pa.large_binary())])
+        at = np.stack([of[np.asarray(words.indices)], np.asarray(marks.indices) + len(self.words)], 1).ravel()
+        both = both.take(pa.array(at))
+        _, place, data = both.buffers()
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(np.frombuffer(place, np.int64)[: len(at) + 1 : 2].copy()), data])
+        rest = super()._found(parts.filter(pa.array(~plain)))
+        order = np.where(plain, np.cumsum(plain) - 1, np.cumsum(~plain) - 1 + len(coded))
+        return pa.concat_arrays([coded, rest]).take(pa.array(order))
+
     def _ready(self, text: bytes) -> bytes | None:
         if b"<|" in text or b" \n" in text or b"  " in text or text[:1] == b" " or text[-1:] == b" ":
             return None
-        lines = text.split(b"\n")
-        if len(lines) > 1 and all(x and 32 < x[0] < 127 and 32 < x[-1] < 127 for x in lines):
-            text = b" \n\n \n".join(lines)
+        if b"\n" in text and self.seen.match(text[:1]) and self.seen.match(text[-1:] if text[-2:-1] != b"\xc3" else b"\xc3") and not self.torn.search(text):
+            text = text.replace(b"\n", b" \n\n \n")
         return b"\n" + text if text else b""  # the newline marks that no space stands before
 
     def _split_all(self, texts: pa.LargeBinaryArray) -> pa.LargeListArray:
@@ -231,6 +350,9 @@ class ByteIds(_Cached):
         self.cache.update(zip([c for c, a in zip(spaced, alpha, strict=True) if a], self._jointly([w for w, a in zip(words, alpha, strict=True) if a], " ", self.starts, False), strict=True))
         self.cache.update(zip([c for c, a in zip(spaced, alpha, strict=True) if not a], self._singly([" " + w for w, a in zip(words, alpha, strict=True) if not a]), strict=True))
         plain = [c for c in cores if c[:1] == b"\n"]
+        words = [c for c in plain if (m := self.plain.fullmatch(c, 1)) and not m[2]]
+        self.cache.update(zip(words, self._unspaced([c[1:] for c in words]), strict=True))
+        plain = [*set(plain).difference(words)]
         self.cache.update(zip(plain, self._singly([c[1:].decode("utf-8", "replace") for c in plain]), strict=True))
         for w, p in split.items():
             if p is None:

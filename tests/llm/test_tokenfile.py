@@ -1,5 +1,6 @@
 """Coded blocks decode to their ids; files read back whole, and damage is found."""
 
+import time
 import zlib
 
 import numpy as np
@@ -94,3 +95,58 @@ def test_find_in_rows(seed, n, kinds):
         at = np.full(len(v), k)
         got = model.find(at * model.width, v + (at << R._ROW)) - at * model.width
         assert (got == np.searchsorted(sums, v, "right") - 1).all()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 65535), min_size=1, max_size=200, unique=True), st.integers(0, 2**32 - 1))
+def test_heads(ids, seed):
+    ids, counts = np.sort(ids), np.random.default_rng(seed).integers(1, 20, len(ids))
+    raw = R._head(ids, counts)
+    got, n, size = R._read_head(raw + b"rest")
+    assert (got == ids).all() and (n == counts).all() and size == len(raw)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32 - 1))
+def test_damaged_blocks_end(seed):
+    rng = np.random.default_rng(seed)
+    blocks = [rng.zipf(1.3, n).astype(np.uint16) for n in (700, 90, 1)]
+    coded = [bytearray(x) for x in R.encode_blocks(blocks)]
+    for x in coded:
+        x[rng.integers(len(x))] ^= int(rng.integers(1, 256))
+    try:
+        back = R.decode_blocks([bytes(x) for x in coded], np.array([len(b) for b in blocks]))
+    except ValueError:
+        return
+    assert [len(x) for x in back] == [700, 90, 1]  # the file's checksums tell that they differ
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["word", "Wört", "É", "×", "÷a", "ß", ",", "%%", "'s", "7", "\n", "\n\n", " ", "\xa0", "\x85", "漢", "a,b", "<|x"]), max_size=12).map("".join), max_size=4))
+def test_texts_by_parts(texts):
+    enc = tokens.encoder(tokens.ByteIds, vocabulary("byte_bpe_50k.json"))
+    want = [np.array(enc.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert enc.encode([t.encode() for t in texts]) == want
+
+
+def test_words_begin_anew(monkeypatch):
+    enc = tokens.ByteIds(vocabulary("byte_bpe_50k.json"))
+    texts = [b"to be, or not", b"to be! \xc3\x89t\xc3\xa9 broken \xc3 bytes\xff", b"", b"not or.\n\xc3\x89t\xc3\xa9 be"]
+    want = [enc.whole(t) for t in texts]
+    monkeypatch.setattr(tokens, "WORDS", 2)
+    for _ in range(3):
+        assert [enc.encode([t])[0] for t in texts] == want and enc.encode(texts) == want
+
+
+def test_seconds():
+    """CPU seconds to code and decode, in those of a plain loop, so that slow machines pass."""
+    rng = np.random.default_rng(5)
+    blocks = [rng.zipf(1.2, 1024).astype(np.uint16) for _ in range(768)]
+
+    def timed(f):
+        t = time.thread_time()
+        f()
+        return time.thread_time() - t
+
+    loop = min(timed(lambda: sum(range(1_000_000))) for _ in range(5))
+    assert min(timed(lambda: R.decode_blocks(R.encode_blocks(blocks), np.full(768, 1024))) for _ in range(3)) < 35 * loop  # 57 before, 19 since
