@@ -337,7 +337,7 @@ def index_resolution(spark, d) -> DataFrame:
 def formats_read(spark, d) -> DataFrame:
     """Which documents are read, and which are refused."""
     raw = written(_index_pages(spark, d), "pages")
-    c = written(router.classify(raw, shred(raw)), "classes")
+    c = written(router.classify(raw, shred(raw, kinds=["element"])), "classes")
     kept = router.supported(c).select(_entity(), "format", F.lit(True).alias("read"))
     return kept.unionByName(router.refused(c).select(_entity(), "format", F.lit(False).alias("read")))
 

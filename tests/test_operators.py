@@ -1,5 +1,7 @@
 """Single operators on small inputs, with nulls, ties and empty tables."""
 
+import re
+
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
@@ -54,6 +56,49 @@ def test_any_soup(parts):
     assert "".join(r[13] for r in rows if r[0] == "text") == "".join(p for p in parts if not p.startswith("<"))
 
 
+def test_long_document_leaves_in_parts():
+    """Of a document far longer than a part only open elements and their text are held."""
+    one = "<table><tr><td>a<sup>1</sup></td></tr></table>"
+    parser, steps = shred._shredder("<html><body>" + one * 20_000 + "</body></html>")
+    n = most = 0
+    for _ in steps:
+        most = max(most, len(parser.rows) + len(parser.text) + len(parser.shown) + sum(len(o.notes) for o in parser.stack))
+        n += len(parser.taken())
+    assert n == 20_000 * 12 + 2 and most < 2 * shred.ROWS
+
+
+def test_short_documents_leave_together(spark):
+    """A batch holds many documents, and one file's documents are dealt to several tasks."""
+    raw = spark.range(2000, numPartitions=1).selectExpr("string(id) AS accession", "concat('<p>', id, '</p>') AS content")
+    plan = shred.shred(raw)
+    sizes = plan.mapInArrow(lambda batches: (b.slice(0, 1).select(["pos"]) for b in batches if b.num_rows), "pos long")
+    assert sizes.count() < 40
+    by = plan.select("accession", F.spark_partition_id().alias("task")).distinct()
+    assert by.count() == 2000 and by.select("task").distinct().count() > 1
+
+
+@pytest.mark.parametrize("html", [
+    "<p>a &lt; b<a href='#x'>t</a><i id=x>q</i></p>", "<script>if (a<b) c()</script>d<p>e", "<p title=\"a&amp;b\">x</p><!-- <p> --><br/>y", "<td>a<tr><table><td HREF=#q id=q>z", "a<b", "<p>x</p><!-- never ends <p>y", "<title>a<b>c</title>d", "</td >a</ p>b<>c",
+])
+def test_plain_and_odd_tags_read_alike(html, monkeypatch):
+    """What is read as plain tags is what HTMLParser reads, in whatever pieces."""
+    rows = shred.shred_document(html)
+    monkeypatch.setattr(shred, "_NEXT", re.compile("(?!)"))
+    assert shred.shred_document(html) == rows
+    monkeypatch.setattr(shred, "_PIECE", 1)
+    monkeypatch.setattr(shred.Shredder, "_odd", lambda self, doc, i: (i, False))
+    assert shred.shred_document(html) == rows
+
+
+@pytest.mark.parametrize("kinds", [["element"], ["text", "break"]])
+def test_kinds_keep_places(spark, kinds):
+    html = "<p>a</p><table><tr><td>b<td>c</table>"
+    every = nodes(spark, html)
+    some = shred.shred(spark.createDataFrame([("d0", html)], "accession string, content string"), kinds=kinds)
+    of = lambda d: sorted((r["pos"], r["end_pos"], r["kind"], r["text"]) for r in d.collect())
+    assert of(some) == of(every.filter(every["kind"].isin(kinds)))
+
+
 # contexts and facts
 
 def _ctx(i, period, more=""):
