@@ -25,19 +25,31 @@ def signals(content: Column) -> dict[str, Column]:
 def density(nodes: DataFrame) -> DataFrame:
     """accession, numeric, tagged and any_tag: cells that show a figure, those with a tag within,
     and whether the document has a tag at all."""
+    return nodes.filter("kind = 'element'").groupBy("accession").agg(*_density())
+
+
+def _density() -> list[Column]:
     cell = F.col("tag").isin("td", "th") & X.is_financial_figure(F.col("text"))
-    return nodes.filter("kind = 'element'").groupBy("accession").agg(F.count_if(cell).alias("numeric"), F.count_if(cell & (F.col("n_ix") > 0)).alias("tagged"), F.bool_or(F.col("tag").startswith("ix:")).alias("any_tag"))
+    return [F.count_if(cell).alias("numeric"), F.count_if(cell & (F.col("n_ix") > 0)).alias("tagged"), F.bool_or(F.col("tag").startswith("ix:")).alias("any_tag")]
 
 
 def index_reference(nodes: DataFrame) -> DataFrame:
     """accession and href: the first link to a document in a filing index's first file table."""
-    x = nodes.filter("kind = 'element'")
-    t = x.filter("tag = 'table'").filter(F.lower(F.col("attrs")["summary"]).contains("document format files"))
-    t = t.groupBy("accession").agg(F.min_by(F.struct("pos", "end_pos"), "pos").alias("t")).select("accession", F.col("t.pos").alias("lo"), F.col("t.end_pos").alias("hi"))
+    d = nodes.filter("kind = 'element' and tag in ('a', 'table')").groupBy("accession").agg(*_links())
+    return d.select("accession", _reference().alias("href")).filter("href is not null")
+
+
+def _links() -> list[Column]:
+    """The first file table of a document, and its links to documents."""
     href = F.col("attrs")["href"]
-    a = x.filter("tag = 'a'").filter(F.lower(href).rlike(r"(?s)\.(htm|html|txt)$") & ~F.lower(href).contains("-index"))
-    d = a.join(t, "accession").filter("pos > lo and pos <= hi")
-    return d.groupBy("accession").agg(F.min_by(href, "pos").alias("href"))
+    files = (F.col("tag") == "table") & F.lower(F.col("attrs")["summary"]).contains("document format files")
+    link = (F.col("tag") == "a") & F.lower(href).rlike(r"(?s)\.(htm|html|txt)$") & ~F.lower(href).contains("-index")
+    return [F.min(F.when(files, F.struct("pos", "end_pos"))).alias("files"), F.collect_list(F.when(link, F.struct("pos", href.alias("href")))).alias("links")]
+
+
+def _reference() -> Column:
+    within = F.filter("links", lambda x: (x["pos"] > F.col("files.pos")) & (x["pos"] <= F.col("files.end_pos")))
+    return F.array_min(within)["href"]
 
 
 def classify(raw: DataFrame, nodes: DataFrame, resolved: bool = False) -> DataFrame:
@@ -49,8 +61,9 @@ def classify(raw: DataFrame, nodes: DataFrame, resolved: bool = False) -> DataFr
     """
     s = signals(F.col("content"))
     d = raw.select("accession", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in s.items()])
-    d = d.join(density(nodes), "accession", "left").join(index_reference(nodes), "accession", "left")
-    d = d.withColumn("index_href", F.when(F.col("html"), F.col("href")))
+    # both at once, so that nodes are made once
+    told = nodes.filter("kind = 'element'").groupBy("accession").agg(*_density(), *_links()).withColumn("href", _reference()).drop("files", "links")
+    d = d.join(told, "accession", "left").withColumn("index_href", F.when(F.col("html"), F.col("href")))
     numeric, share = F.coalesce("numeric", F.lit(0)), F.try_divide("tagged", "numeric")
     none = ~F.coalesce("any_tag", F.lit(False))
     by_share = F.when(numeric == 0, F.when(none, S.HTML).otherwise(S.IXBRL)).when(share >= S.DENSE, S.IXBRL).when(share >= S.SPARSE, S.PARTIAL).otherwise(S.HTML)

@@ -320,7 +320,7 @@ def _index_pages(spark, d) -> DataFrame:
 @query("index_documents", "SELECT o_orderkey AS entity, '/x/d' || o_orderkey || '.htm' AS href FROM orders WHERE o_orderkey % 3 = 0")
 def index_documents(spark, d) -> DataFrame:
     """The first document that a filing index links to."""
-    return router.index_reference(shred(_index_pages(spark, d))).select(_entity(), "href")
+    return router.index_reference(shred(_index_pages(spark, d), kinds=["element"])).select(_entity(), "href")
 
 
 @query("index_resolution", "SELECT o_orderkey AS entity, 'body ' || o_orderkey AS body FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0")
