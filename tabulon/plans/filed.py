@@ -327,7 +327,7 @@ def index_documents(spark, d) -> DataFrame:
 def index_resolution(spark, d) -> DataFrame:
     """What indexes lead to, where it has landed."""
     raw = written(_index_pages(spark, d), "pages")
-    classes = router.classify(raw, shred(raw))
+    classes = router.classify(raw, shred(raw, kinds=["element"]))
     k = F.col("o_orderkey")
     files = table(spark, d, "orders").filter(k % 2 == 0).select(k.cast("string").alias("accession"), _c("d", k, ".htm").alias("name"), F.encode(_c("body ", k), "UTF-8").alias("content"))
     return router.resolve(classes, files).select(_entity(), F.decode("content", "UTF-8").alias("body"))
