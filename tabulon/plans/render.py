@@ -87,16 +87,18 @@ def text_table(t: Column) -> Column:
     n = F.size(t["columns"]) + 1
     header = F.concat(F.array(F.lit("")), F.transform(t["columns"], lambda c: _or(c["label"])))
     rows = F.transform(t["rows"], lambda r: F.concat(F.array(_or(r["label"])), F.transform(r["values"], X.decimal_text)))
-    w = widths(F.concat(F.array(header), rows), n)
+    title = F.when(_or(t["title"]) == "", "").otherwise(F.concat(t["title"], F.lit("\n")))
 
-    def line(cells: Column) -> Column:
+    def lines(cells: Column, w: Column) -> Column:
         # pad functions would cut what is longer, but nothing is
         cell = lambda c, i: F.when(i == 0, F.rpad(c, F.get(w, i), F.lit(" "))).otherwise(F.concat(F.lit("  "), F.lpad(c, F.get(w, i), F.lit(" "))))
-        return F.concat(_nth(F.slice(cells, F.lit(1), n), cell), F.lit("\n"))
+        line = lambda r: F.concat(_nth(F.slice(r, F.lit(1), n), cell), F.lit("\n"))
+        rule = F.concat(F.repeat(F.lit("-"), F.aggregate(w, F.lit(0), lambda a, x: a + x) + 2 * (n - 1)), F.lit("\n"))
+        return F.concat(line(cells[0]), rule, _joined(F.slice(cells, F.lit(2), F.size(cells)), line))
 
-    rule = F.concat(F.repeat(F.lit("-"), F.aggregate(w, F.lit(0), lambda a, x: a + x) + 2 * (n - 1)), F.lit("\n"))
-    title = F.when(_or(t["title"]) == "", "").otherwise(F.concat(t["title"], F.lit("\n")))
-    return F.concat(title, line(header), rule, _joined(rows, line), F.lit("(source: "), t["source"]["extractor"], F.lit("; confidence: "), t["confidence"]["level"], F.lit(")\n\n"))
+    # texts and widths are made once a table, not once a cell
+    table = X.let(F.concat(F.array(header), rows), lambda cells: X.let(widths(cells, n), lambda w: lines(cells, w)))
+    return F.concat(title, table, F.lit("(source: "), t["source"]["extractor"], F.lit("; confidence: "), t["confidence"]["level"], F.lit(")\n\n"))
 
 
 def text(df: DataFrame) -> DataFrame:

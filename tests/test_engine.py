@@ -1,6 +1,7 @@
 """Whole filings, from landed files to documents, comparisons and reports."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +123,15 @@ def test_markdown_and_text(zorb):
         render.renderer("pdf")
 
 
+def test_long_text_table(spark):
+    """A table's widths are found once, so its time grows with its rows and not with their square."""
+    began = time.time()
+    d = spark.range(1, numPartitions=1).selectExpr("named_struct('title', 'T', 'columns', array(named_struct('label', '2024'), named_struct('label', '2023')), 'rows', transform(sequence(1, 3000), i -> named_struct('label', 'r' || i, 'values', array(i / 4, -i / 1.0D))), 'source', named_struct('extractor', 'x'), 'confidence', named_struct('level', 'high')) AS t")
+    lines = d.select(render.text_table(F.col("t")).alias("text")).collect()[0]["text"].split("\n")
+    assert lines[:3] == ["T", "         2024   2023", "-" * 20] and lines[3] == "r1       0.25     -1" and lines[3002] == "r3000     750  -3000"
+    assert time.time() - began < 60
+
+
 def test_diff(zorb):
     sets, words = zorb.diff("ZORB", 2023, 2024, layer="lexical")
     d = sets.collect()[0]
