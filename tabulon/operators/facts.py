@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import scalars as X
@@ -12,6 +12,9 @@ def _attr(name: str):
     return F.col("attrs")[name]
 
 
+_PARTS = ("xbrli:identifier", "xbrli:instant", "xbrli:startdate", "xbrli:enddate", "xbrli:period", "xbrldi:typedmember", "xbrldi:explicitmember")
+
+
 def contexts(nodes: DataFrame) -> DataFrame:
     """accession, context_ref, period_start, period_end, entity_cik, segments, typed and valid.
 
@@ -19,23 +22,26 @@ def contexts(nodes: DataFrame) -> DataFrame:
     are the explicit members only; ``typed`` tells that typed ones were left out. A context
     without id, period or readable dates makes ``valid`` false for all of its document.
     """
-    x = nodes.filter("kind = 'element'")
-    parts = x.filter("context_pos is not null").select("accession", F.col("context_pos").alias("pos"), F.col("pos").alias("at"), "tag", X.trim("text").alias("text"), _attr("dimension").alias("dimension"))
+    # a context is in the group of its parts, so that nodes are read once
+    own = F.col("tag") == "xbrli:context"
+    x = nodes.filter("kind = 'element'").filter(own | (F.col("context_pos").isNotNull() & F.col("tag").isin(*_PARTS)))
+    parts = x.select("accession", F.when(own, F.col("pos")).otherwise(F.col("context_pos")).alias("pos"), F.col("pos").alias("at"), "tag", X.trim("text").alias("text"), _attr("dimension").alias("dimension"), F.when(own, F.struct(_attr("id").alias("context_ref"))).alias("own"))
     first = lambda tag: F.min_by("text", F.when(F.col("tag") == tag, F.col("at")))
     member = F.when(F.col("tag") == "xbrldi:explicitmember", F.struct("at", "dimension", F.col("text").alias("member")))
     got = parts.groupBy("accession", "pos").agg(
+        F.collect_list("own").alias("own"),
         first("xbrli:identifier").alias("entity_cik"), first("xbrli:instant").alias("instant"), first("xbrli:startdate").alias("start"), first("xbrli:enddate").alias("end"),
         F.bool_or(F.col("tag") == "xbrli:period").alias("period"), F.bool_or(F.col("tag") == "xbrldi:typedmember").alias("typed"),
         F.transform(F.sort_array(F.collect_list(member)), lambda m: F.struct(m["dimension"], m["member"])).alias("segments"),
     )
     date = lambda c: F.when(F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd"))
-    c = x.filter("tag = 'xbrli:context'").select("accession", "pos", _attr("id").alias("context_ref")).join(got, ["accession", "pos"], "left")
+    c = got.withColumn("own", F.explode("own")).withColumn("context_ref", F.col("own.context_ref"))
     c = c.withColumn("period_start", F.when(F.col("instant").isNotNull(), date("instant")).otherwise(date("start"))).withColumn("period_end", F.when(F.col("instant").isNotNull(), date("instant")).otherwise(date("end")))
     sound = (F.coalesce("context_ref", F.lit("")) != "") & F.coalesce("period", F.lit(False)) & F.col("period_start").isNotNull() & F.col("period_end").isNotNull()
     kept = F.struct("period_start", "period_end", "entity_cik", F.coalesce("segments", F.array().cast("array<struct<dimension:string,member:string>>")).alias("segments"), F.coalesce("typed", F.lit(False)).alias("typed"))
     c = c.groupBy("accession", "context_ref").agg(F.max_by(kept, "pos").alias("c"), F.bool_and(sound).alias("sound"))
-    every = c.groupBy("accession").agg(F.bool_and("sound").alias("valid"))
-    return c.join(every, "accession").select("accession", "context_ref", "c.*", "valid")
+    c = c.filter("accession is not null").withColumn("valid", F.bool_and("sound").over(Window.partitionBy("accession")))
+    return c.select("accession", "context_ref", "c.*", "valid")
 
 
 def is_primary(segments="segments"):

@@ -220,7 +220,7 @@ def _order_nodes(spark, d) -> DataFrame:
     segment = F.when(F.col("year") % 2 == 1, '<xbrli:segment><xbrldi:explicitMember dimension="d">m</xbrldi:explicitMember></xbrli:segment>').otherwise("")
     ctx = _c('<xbrli:context id="c', F.col("year"), '"><xbrli:entity><xbrli:identifier>9</xbrli:identifier>', segment, "</xbrli:entity><xbrli:period>", F.when(F.col("year") % 3 == 0, _c("<xbrli:instant>", F.col("year"), "-12-31</xbrli:instant>")).otherwise(_c("<xbrli:startDate>", F.col("year"), "-01-01</xbrli:startDate><xbrli:endDate>", F.col("year"), "-12-31</xbrli:endDate>")), "</xbrli:period></xbrli:context>")
     head = _listed(years, "o_custkey", "year", ctx, "head")
-    return shred(_raw(head.join(body, "o_custkey"), "o_custkey", _html(_c("<ix:header>", F.col("head"), "</ix:header>", F.col("body")))))
+    return shred(_raw(head.join(body, "o_custkey"), "o_custkey", _html(_c("<ix:header>", F.col("head"), "</ix:header>", F.col("body")))), kinds=["element"])
 
 
 _TAGGED = """o AS (SELECT o_custkey AS entity, o_orderkey AS k, year(o_orderdate) AS y, o_orderpriority AS p FROM orders),

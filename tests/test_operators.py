@@ -99,6 +99,14 @@ def test_kinds_keep_places(spark, kinds):
     assert of(some) == of(every.filter(every["kind"].isin(kinds)))
 
 
+def test_contexts_read_nodes_once(spark):
+    """Contexts and their parts come of one pass, those within another too; one without an id counts."""
+    html = "<ix:header>" + _ctx("a", "<xbrli:instant>2020-12-31</xbrli:instant>") + '<xbrli:context><xbrli:period></xbrli:period></xbrli:context><xbrli:context id="o"><xbrli:entity>' + _ctx("i", "<xbrli:instant>2021-12-31</xbrli:instant>") + "</xbrli:entity></xbrli:context></ix:header>"
+    c = facts.contexts(nodes(spark, html))
+    assert c._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {(r["context_ref"], str(r["period_end"]), r["entity_cik"], r["valid"]) for r in c.collect()} == {("a", "2020-12-31", "7", False), (None, "None", None, False), ("o", "None", None, False), ("i", "2021-12-31", "7", False)}
+
+
 # contexts and facts
 
 def _ctx(i, period, more=""):
