@@ -80,7 +80,7 @@ def _entity(name: str = "accession") -> Column:
 @query("sections_found", f"WITH {_PARTS} SELECT entity, CAST(seq AS INTEGER) AS seq, item, {_TITLES} AS title, head AS heading, strategy, level, 'narrative' AS kind FROM p")
 def sections_found(spark, d) -> DataFrame:
     """Sections by contents where two items resolve, else by first headings, and their level."""
-    s = sections.partition(shred(_supplier_pages(spark, d)))
+    s = sections.partition(written(shred(_supplier_pages(spark, d)), "nodes"))
     return s.select(_entity(), "seq", "item", "title", "heading", "strategy", "level", "kind")
 
 
@@ -90,7 +90,7 @@ def contents_links(spark, d) -> DataFrame:
     """Links of contents tables whose row names an item, in order."""
     from pyspark.sql import Window
 
-    a = sections.anchors(shred(_supplier_pages(spark, d)))
+    a = sections.anchors(written(shred(_supplier_pages(spark, d), kinds=["element"]), "nodes"))
     return a.select(_entity(), F.row_number().over(Window.partitionBy("accession").orderBy("pos")).alias("n"), "item", "target")
 
 
@@ -112,7 +112,7 @@ def section_whole_texts(spark, d) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY entity, needle ORDER BY lower(item) <> lower(needle), seq) = 1""")
 def section_picks(spark, d) -> DataFrame:
     """The section that a word names, for documents and for texts."""
-    s = written(sections.partition(shred(_supplier_pages(spark, d))), "sections")
+    s = written(sections.partition(written(shred(_supplier_pages(spark, d)), "nodes")), "sections")
     out = None
     for needle in ("RISK", "7", "business", "again", "discussion and"):
         for which, pick in (("get", sections.pick_for_get), ("text", sections.pick_for_text)):
