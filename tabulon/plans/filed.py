@@ -378,7 +378,7 @@ def page_tables(spark, d) -> DataFrame:
     UNION ALL SELECT brand, price, false, CASE k % 3 WHEN 0 THEN 'a' WHEN 1 THEN '2' ELSE '' END, count(*) FROM p GROUP BY ALL""")
 def marked_cells(spark, d) -> DataFrame:
     """Bold cells and footnote marks of labels and prices."""
-    c = layout.cells(shred(_brand_pages(spark, d)))
+    c = layout.cells(written(shred(_brand_pages(spark, d), kinds=["element"]), "nodes"))
     c = c.filter(~F.col("text").startswith("outer") & ~F.col("text").startswith("inner") & ~F.col("text").isin("Cost", "Size", "in $", "") & ~F.col("text").rlike(r"^\d{1,2}$"))
     return c.groupBy(F.col("accession").alias("brand"), "text", "bold", F.array_join("notes", ",").alias("notes")).agg(F.count("*").alias("n"))
 
