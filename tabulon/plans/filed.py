@@ -396,7 +396,7 @@ def nearest_tables(spark, d) -> DataFrame:
 @query("layout_labels", "SELECT p_brand AS brand, p_name AS label, 'Cost in $|Size' AS columns, count(*) AS n FROM part GROUP BY ALL")
 def layout_labels(spark, d) -> DataFrame:
     """Columns that two header rows name together, and the label of each table's row."""
-    t = layout.tables(shred(_brand_pages(spark, d))).filter(F.size("table.columns") == 2)
+    t = layout.tables(written(shred(_brand_pages(spark, d), kinds=["element"]), "nodes")).filter(F.size("table.columns") == 2)
     t = t.select(F.col("accession").alias("brand"), F.explode("table.rows").alias("r"), F.array_join("table.columns.label", "|").alias("columns"))
     return t.groupBy("brand", F.col("r.label").alias("label"), "columns").agg(F.count("*").alias("n"))
 
