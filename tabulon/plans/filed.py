@@ -386,7 +386,7 @@ def marked_cells(spark, d) -> DataFrame:
 @query("nearest_tables", "SELECT p_brand AS brand, count(*) AS tables, CAST(10 * count(*) AS BIGINT) AS own, count(*) AS nested FROM part GROUP BY p_brand")
 def nearest_tables(spark, d) -> DataFrame:
     """Cells by the nearest table and row above them: those of tables in a cell aren't the outer's."""
-    x = shred(_brand_pages(spark, d)).filter("kind = 'element' and tag = 'td'")
+    x = shred(_brand_pages(spark, d), kinds=["element"]).filter("kind = 'element' and tag = 'td'")
     inner = F.coalesce(F.col("text").startswith("inner"), F.lit(False))
     per = x.groupBy("accession", "table_pos").agg(F.count("*").alias("n"), F.bool_or(inner).alias("inner"))
     n = F.sum(F.when(F.col("n") == 9, 1).otherwise(0)).alias("tables")
