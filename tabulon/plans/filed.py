@@ -370,7 +370,7 @@ def _brand_pages(spark, d) -> DataFrame:
 @query("page_tables", "SELECT p_brand AS brand, CAST(generate_series AS INTEGER) AS table_seq FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand), LATERAL (SELECT unnest(range(0, CAST(3 * n AS BIGINT))) AS generate_series)")
 def page_tables(spark, d) -> DataFrame:
     """All tables of a page, nested ones too, by number."""
-    return layout.table_numbers(shred(_brand_pages(spark, d))).select(F.col("accession").alias("brand"), "table_seq")
+    return layout.table_numbers(shred(_brand_pages(spark, d), kinds=["element"])).select(F.col("accession").alias("brand"), "table_seq")
 
 
 @query("marked_cells", """WITH p AS (SELECT p_brand AS brand, p_partkey AS k, p_name, CAST(p_retailprice AS VARCHAR) AS price FROM part)
