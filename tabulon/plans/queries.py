@@ -543,7 +543,7 @@ def layout_tables(spark, d) -> DataFrame:
     tr = F.concat(F.lit("<tr><td>"), "p_name", F.lit("<sup>(1)</sup></td><td>$</td><td>"), size, F.lit("</td><td>"), X.decimal_text(F.col("p_retailprice")), F.lit("<td></td></tr>"))
     html = p.groupBy(F.col("p_brand").alias("accession")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", tr.alias("t")))), lambda x: x["t"]), "\n").alias("t"))
     html = html.select("accession", F.concat(F.lit("<html><table><tr><td><b>Parts</b></td></tr><tr><th></th><th>Size</th><th>Price</th></tr>"), "t", F.lit("</table></html>")).alias("content"))
-    t = layout.tables(written(shred(html), "nodes"))
+    t = layout.tables(written(shred(html, kinds=["element"]), "nodes"))
     r = t.select("accession", F.posexplode("table.rows").alias("n", "r"))
     return r.select(F.col("accession").alias("brand"), "n", "r.label", F.col("r.values")[0].alias("size"), F.col("r.values")[1].alias("price"))
 
@@ -557,7 +557,7 @@ def inline_statements(spark, d) -> DataFrame:
     tag = v.select("entity", F.concat(F.lit('<tr><td><ix:nonFraction name="'), "concept", F.lit('" contextRef="y'), "year", F.lit('" scale="0">'), X.decimal_text(F.col("value")), F.lit("</ix:nonFraction></td></tr>")).alias("t"))
     body = lambda x, name: x.groupBy("entity").agg(F.array_join(F.sort_array(F.collect_list("t")), "\n").alias(name))
     html = body(ctx, "c").join(body(tag, "f"), "entity").select(F.col("entity").alias("accession"), F.concat(F.lit("<html><body><ix:header>"), "c", F.lit("</ix:header><table>"), "f", F.lit("</table></body></html>")).alias("content"))
-    nodes = written(shred(html), "nodes")
+    nodes = written(shred(html, kinds=["element"]), "nodes")
     c = facts.contexts(nodes)
     long, _ = project.cells(views.as_rows(v), facts.facts(nodes, c), c)
     return long.select(_entity(), F.col("path")[0].alias("concept"), "col_seq", "value")
